@@ -5,10 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bpe_columns, exact_dedup, packing, token_counts
+from . import bpe, bpe_columns, chat_tree, exact_dedup, html_extract, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
 from .common import table, text_or_empty
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -7, that speaks in control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_tree.conversation_digests(chat_tree.chat_packs(turns.unionByName(probe)))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labels outside the held-out fourth."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = lambda c: F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(4))
+    model = quality_model.fit(docs, labels, usable=remainder("_lid") != 2)
+    scored = quality_model.score_texts(docs, model)
+    return scored.select("doc_id", (remainder("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
@@ -21,6 +46,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_columns.round_trip_digests(table(spark, sf_dir, "documents"), bpe.vocabulary_path())
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator's classes, with the digest of every text; that of texts it did not need to read in full is made here."""
     docs = table(spark, sf_dir, "documents")
@@ -29,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(digests, F.col("doc_id") == F.col("_id")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_token_counts, op7_bpe, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_html_extract, op4_quality_model, op5_packing, op6_token_counts, op7_bpe, op8_suffix_dedup, op9_quality_rules, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
