@@ -22,7 +22,7 @@ def attribute(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "fir
     first: a token belongs to the section that holds its first byte. majority: to that with most of its bytes, the
     earlier at a tie.
     """
-    starts = np.concatenate([[0], token_ends[:-1]]).astype(np.int64)
+    starts = np.concatenate([[0], token_ends])[:-1].astype(np.int64)
     first = np.searchsorted(section_ends, starts, side="right")
     last = np.searchsorted(section_ends, token_ends - 1, side="right")
     crosses = first != last
