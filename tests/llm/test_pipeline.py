@@ -27,7 +27,7 @@ def test_stages(spark, tmp_path):
         if i % 3 == 0:
             text = " ".join(w.upper() + "!!" for w in words)
         elif i % 10 == 1 and i > 20:
-            text = rows[i - 11][1]
+            text = rows[i - 12][1]
         elif i % 10 == 2:
             text = f"{text} {shared} {word()}"
         elif i % 10 == 4 and i > 20:
