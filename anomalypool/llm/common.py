@@ -102,3 +102,10 @@ def skew_safe_lookup(rows: DataFrame, key: str, facts: DataFrame, fact_key: str,
     joined = served.withColumn("_jk", spread).join(cold, F.col("_jk") == F.col("_ck"), "left")
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*rows.columns, *(found[c].alias(c) for c in others))
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose key is in the one column of gone; rows with a null key stay."""
+    name = free_name(df, "_gone")
+    keys = gone.toDF(name).filter(F.col(name).isNotNull()).distinct()
+    return df.join(keys, df[key] == keys[name], "left_anti")

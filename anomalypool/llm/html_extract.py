@@ -1,9 +1,10 @@
 """Main text of web pages: structure decides where it can, a suffix array of each host decides the rest.
 
-A page becomes blocks in three zones: article (inside article, main or the like), chrome (inside menus, headers,
-footers, sidebars, notices, adverts, forms, comments) and open (neither). Pages with an article keep it. Of pages
-without one, the open blocks lose what the host repeats: the token streams of all open and chrome blocks of a host
-are sorted by their suffixes, to a depth of MIN_TOKENS, and what two different pages share is boilerplate.
+A page becomes blocks in four zones: article, main (inside main or the like, but no article), chrome (inside menus,
+headers, footers, sidebars, notices, adverts, forms, comments) and open (none of these). Pages with an article keep
+it, others what is main. Of pages with neither, the open blocks lose what the host repeats: the token streams of all
+open and chrome blocks of a host are sorted by their suffixes, to a depth of MIN_TOKENS, and what two different pages
+share is boilerplate.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def _role_of(tag: str, attributes: str, inside_article: bool) -> str:
-    """'article', 'chrome', 'hidden' or ''."""
+    """'article', 'main', 'chrome', 'hidden' or ''."""
     if tag in UNSEEN:
         return "hidden"
     words: set[str] = set()
@@ -55,18 +56,18 @@ def _role_of(tag: str, attributes: str, inside_article: bool) -> str:
         return "chrome"
     chrome = words & CHROME_WORDS
     if tag in ("article", "main"):
-        return "chrome" if words & {"comment", "comments", "reply", "replies"} else "article"
+        return "chrome" if words & {"comment", "comments", "reply", "replies"} else tag
     if tag == "body" or tag == "html":
         return ""
     if chrome and not (inside_article and chrome <= {"header", "main"}):
         return "chrome"
-    if tag in ("div", "section") and ("articlebody" in words or words & ARTICLE_WORDS and tag != "body"):
-        return "article"
+    if tag in ("div", "section") and words & ARTICLE_WORDS:
+        return "article" if "articlebody" in words else "main"
     return ""
 
 
 def page_blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block of a page in page order, without empty ones; zone is article, open or chrome.
+    """(zone, text) of each block of a page in page order, without empty ones; zone is article, main, open or chrome.
 
     Character references are decoded, white space inside a block is one space. An end tag closes what is open inside
     its element; one without an element does nothing; what is never closed ends with the element around it.
@@ -125,10 +126,10 @@ def page_blocks(page: str) -> list[tuple[str, str]]:
                     del stack[i:]
                     reset()
                     break
-        role = _role_of(tag, attributes, zone == "article")
+        role = _role_of(tag, attributes, zone in ("article", "main"))
         inside = zone
-        if role == "article" and (zone != "chrome" or tag in ("article", "main") and not any(s[0] in CHROME for s in stack)):
-            inside = "article"
+        if role in ("article", "main") and (zone != "chrome" or tag in ("article", "main") and not any(s[0] in CHROME for s in stack)):
+            inside = "article" if zone == "article" else role
         elif role == "chrome":
             inside = "chrome"
         if inside != zone:
@@ -161,7 +162,7 @@ def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
         hosts, articles, open_, chrome = [], [], [], []
         for url, raw in zip(byte_list(batch.column(1)), byte_list(batch.column(2))):
             blocks = page_blocks(raw.decode("utf-8", "replace"))
-            own = [t for z, t in blocks if z == "article"]
+            own = [t for z, t in blocks if z == "article"] or [t for z, t in blocks if z == "main"]
             hosts.append(host_of(url.decode("utf-8", "replace")))
             articles.append("\n".join(own) if own else None)
             open_.append([t for z, t in blocks if z == "open"])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialise, per_batch, skew_safe_lookup
+from .common import byte_list, materialise, per_batch, skew_safe_lookup, without
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 LEAST_LEAD, MOST_LEAD = 12, 24  # leading bits that variants are shuffled by, more for more fingerprints
@@ -235,5 +235,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = RADIUS) -> DataFrame:
     """docs with only the row of least id of each component; rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, distance).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col, distance).filter(F.col(id_col) != F.col("component_id")).select(id_col))

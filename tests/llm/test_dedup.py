@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from anomalypool.llm import bwt, exact_dedup, simhash, suffix_dedup
 
-SCHEMA = "doc_id long, text string, _id string, source string"
+SCHEMA = "doc_id long, text string, _gone string, source string"
 
 
 def normal(text):

@@ -169,6 +169,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</scri
 
 def test_html_of_a_page_with_an_article():
     assert "\n".join(t for z, t in html_extract.page_blocks(PAGE) if z == "article") == "A & B\none two\nx < y z\ni\nj\nq"
+    zones = html_extract.page_blocks("<body><main><p>crumbs</p><article><p>a</article></main><div class='main-wrap'>b<div class=sidebar>c</div></div><p>d")
+    assert zones == [("main", "crumbs"), ("article", "a"), ("main", "b"), ("chrome", "c"), ("open", "d")]
     for broken in ("", "<", "<p", "a<b>c</i></b></p>", "<article><p>x", "<!-- never closed <p>", "<script>x", "<p a='b>c</p>", "&#x110000;&bogus; ok", "</article></div>x" * 500, "<div>" * 3000):
         html_extract.page_blocks(broken)
 
