@@ -11,6 +11,7 @@ from ..config import PoolConfig, SamplerConfig
 from ..functions import scalars
 from ..operators import chunks, cleaning, compose, explore, metrics, profile, runs, scan, validate
 from ..sources import tables
+from ..sources.scratch import written
 from ..streaming import replay
 from . import agent, real_pool, synthetic_pool
 
@@ -59,13 +60,18 @@ def _rounded(df: DataFrame, *names: str, digits: int = 4) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def _prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price series, written, for queries that go over them more than once."""
+    return written(tables.price_series(spark, sf_dir), "prices")
+
+
 def _price_slots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    points = tables.price_series(spark, sf_dir)
+    points = _prices(spark, sf_dir)
     return points, chunks.judged(chunks.chunk_grid(points, KNOBS), profile.robust_reference(points), KNOBS)
 
 
 def _price_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.samples(tables.price_series(spark, sf_dir), KNOBS, "R", F.lit("lineitem"))
+    return chunks.samples(_prices(spark, sf_dir), KNOBS, "R", F.lit("lineitem"))
 
 
 @query(f"WITH {_EVENTS} SELECT recording, pos, value, label FROM points")
@@ -91,7 +97,7 @@ def series_profile(spark, sf_dir):
 
 @query(f"WITH {_PRICES}, med AS (SELECT recording AS mr, median(value) AS m FROM points GROUP BY 1) SELECT recording, round(any_value(m), 4) AS median, round(median(abs(value - m)) * 1.4826::DOUBLE, 4) AS mad_sigma FROM points JOIN med ON recording = mr GROUP BY 1")
 def mad_sigma(spark, sf_dir):
-    return _rounded(profile.mad_sigma(tables.price_series(spark, sf_dir)), "median", "mad_sigma")
+    return _rounded(profile.mad_sigma(_prices(spark, sf_dir)), "median", "mad_sigma")
 
 
 @query(f"WITH {_EVENTS}, {_REFERENCE} SELECT rr AS recording, round(ref_mean, 4) AS ref_mean, round(ref_std, 4) AS ref_std FROM reference")
@@ -158,7 +164,7 @@ def lag_corr(spark, sf_dir):
 
 @query(f"WITH {_PRICES}, {_SLOTS} SELECT recording, slot, start, length, num_point_anomalies, y_i, round(mean, 4) AS mean, round(std, 4) AS std FROM slots")
 def chunk_grid(spark, sf_dir):
-    g = chunks.chunk_grid(tables.price_series(spark, sf_dir), KNOBS)
+    g = chunks.chunk_grid(_prices(spark, sf_dir), KNOBS)
     return _rounded(g.select("recording", "slot", "start", "length", "num_point_anomalies", "y_i", "mean", "std"), "mean", "std")
 
 
@@ -272,8 +278,8 @@ def orphan_metadata(spark, sf_dir):
 
 def _damaged(spark, sf_dir):
     """A pool with one violation of several kinds."""
-    points = tables.price_series(spark, sf_dir)
-    kept = chunks.samples(points, KNOBS, "R", F.lit("lineitem"))
+    points = _prices(spark, sf_dir)
+    kept = written(chunks.samples(points, KNOBS, "R", F.lit("lineitem")), "kept")
     meta = kept.withColumn("split", F.when(F.col("slot") == 3, "other").otherwise("dev")).withColumn("length", F.col("length") + (F.col("slot") == 2).cast("int"))
     return chunks.sample_points(points, kept), meta
 
@@ -311,8 +317,8 @@ def pick_series(spark, sf_dir):
 @query(f"""WITH {_PRICES}, {_SLOTS}, {_REFERENCE}, {_JUDGED}, {_META}, p AS (SELECT * FROM kept WHERE y_i = 1 ORDER BY num_point_anomalies DESC, series_id LIMIT 3)
 SELECT p.series_id, points.pos - p.start AS time_index, points.value FROM points JOIN p ON points.recording = p.recording AND points.pos >= p.start + 100 AND points.pos < p.start + 200""")
 def series_slice(spark, sf_dir):
-    points = tables.price_series(spark, sf_dir)
-    kept = chunks.samples(points, KNOBS, "R", F.lit("lineitem"))
+    points = _prices(spark, sf_dir)
+    kept = written(chunks.samples(points, KNOBS, "R", F.lit("lineitem")), "kept")
     ids = explore.pick(kept, anomalous=True, sort_by="num_point_anomalies", n=3)
     return explore.points_of(chunks.sample_points(points, kept), ids, 100, 200).select("series_id", "time_index", "value")
 
@@ -334,17 +340,17 @@ def cheap_scan(spark, sf_dir):
 @query(_SCORES + """, l AS (SELECT avg(cheap_score) + 2 * stddev_pop(cheap_score) AS lim FROM s)
 SELECT series_id, row_number() OVER (ORDER BY cheap_score DESC, series_id) AS rank, cheap_score > lim AS is_reported FROM s, l""")
 def ranked_list(spark, sf_dir):
-    return scan.ranked_list(_scored(spark, sf_dir), score="cheap_score").select("series_id", "rank", "is_reported")
+    return scan.ranked_list(written(_scored(spark, sf_dir), "scores"), score="cheap_score").select("series_id", "rank", "is_reported")
 
 
 @query(_SCORES + " SELECT series_id FROM s ORDER BY cheap_score DESC, series_id LIMIT (SELECT count(*) * 50 // 1000 FROM s)")
 def budget_topk(spark, sf_dir):
-    return scan.budget_topk(_scored(spark, sf_dir), 50).select("series_id")
+    return scan.budget_topk(written(_scored(spark, sf_dir), "scores"), 50).select("series_id")
 
 
 @query(_SCORES + f" SELECT series_id FROM s ORDER BY {_CRC.format(k=chr(39) + '42|random|' + chr(39) + ' || series_id')}, series_id LIMIT (SELECT count(*) * 50 // 1000 FROM s)")
 def random_baseline(spark, sf_dir):
-    return scan.random_baseline(_scored(spark, sf_dir), 50).select("series_id")
+    return scan.random_baseline(written(_scored(spark, sf_dir), "scores"), 50).select("series_id")
 
 
 _LABELLED = "SELECT n_chars AS score, toxic, quality FROM documents JOIN labels USING (doc_id)"
@@ -370,8 +376,9 @@ def adjusted_rand(spark, sf_dir):
 @query(_SCORES + """, n AS (SELECT row_number() OVER (ORDER BY cheap_score DESC, series_id) AS rk, y_i, count(*) OVER () AS total FROM s), b AS (SELECT unnest([10, 25, 50, 100]) AS budget)
 SELECT budget, count(*) FILTER (WHERE rk <= total * budget // 1000) AS looked, coalesce(sum(y_i) FILTER (WHERE rk <= total * budget // 1000), 0) AS found FROM n, b GROUP BY 1""")
 def quality_vs_budget(spark, sf_dir):
-    ranked = scan.ranked_list(_scored(spark, sf_dir), score="cheap_score").select("series_id", "rank")
-    scored = _scored(spark, sf_dir).select("series_id", "y_i").join(ranked, "series_id")
+    scores = written(_scored(spark, sf_dir), "scores")
+    ranked = scan.ranked_list(scores, score="cheap_score").select("series_id", "rank")
+    scored = scores.select("series_id", "y_i").join(ranked, "series_id")
     total = scored.count()
     looks = F.explode(F.array(*[F.struct(F.lit(b).alias("budget"), F.lit(scan.allowed(total, b)).alias("most")) for b in (10, 25, 50, 100)]))
     within = F.col("rank") <= F.col("_b.most")
@@ -427,7 +434,7 @@ def inject_families(spark, sf_dir):
 
 
 def _raw(spark, sf_dir):
-    return tables.price_series(spark, sf_dir).withColumn("dataset", F.lit("lineitem"))
+    return _prices(spark, sf_dir).withColumn("dataset", F.lit("lineitem"))
 
 
 @query()
