@@ -1,4 +1,4 @@
-"""Every query against the SQL that says the same, on the smallest tables."""
+"""Every query against the SQL that says the same."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 
 from anomalypool.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
