@@ -24,9 +24,10 @@ from .common import byte_list, materialise, per_batch
 LENGTH, GRAM = 100, 48
 BUCKET_BYTES = 16 << 20  # text whose anchors share a bucket
 LEAST_BUCKETS = 256
-BLOCK = 1 << 20  # bytes of surroundings that are sorted at once
+BLOCK = 1 << 19  # bytes of surroundings that are sorted at once
 SAMPLE, HOT = 64, 1024  # of the texts, to find the most frequent anchors; how many of these are dealt out string by string
-_HOT_SHARE = 1 / 4096  # of the sampled texts that an anchor must be in to count as frequent
+HOT_SHARE = 1 / 256  # of the sampled texts that an anchor must be in to count as frequent
+SETTLE_BYTES = 8 << 20  # texts whose entries are sorted at once before they travel
 _BASE = 0x9E3779B97F4A7C15
 _ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4")])
 
@@ -131,22 +132,18 @@ def _found(doc: np.ndarray, span: np.ndarray, ask: bool) -> Iterator[pa.RecordBa
 
 
 def _anchor_rows(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """_bucket, _rows: all entries by bucket, packed. Of equal entries of a batch only the first travels; the others, in bucket -1, are covered."""
+    """_bucket, _rows: all entries by bucket, packed. Of equal entries of a batch only the first travels; the others, in buckets below 0, are covered."""
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def pack(rows: np.ndarray) -> bytes:
         return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in _ROW.names)
 
-    def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        ids, texts = batch.column(0).to_pylist(), byte_list(batch.column(1))
-        made = [Anchors(raw, LENGTH, GRAM).rows(doc, hot) for doc, raw in zip(ids, texts) if doc is not None and len(raw) >= LENGTH]
-        if not made:
-            return
+    def settled(made: list[np.ndarray]) -> pa.RecordBatch:
         rows, first, covered = _settle(np.concatenate(made))
         doc, span = _spans(rows["doc"][covered], rows["lo"][covered], rows["n"][covered])
         keys, blobs = [], []
         if len(doc):
-            keys.append(-1)
+            keys.append(-1 - int(doc[0]) % buckets)
             blobs.append(doc.tobytes() + span.tobytes())
         rows = rows[first]
         bucket = (rows["h"] >> shift).astype(np.int64)
@@ -154,7 +151,20 @@ def _anchor_rows(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         for a, b in zip(cuts, [*cuts[1:], len(rows)]):
             keys.append(int(bucket[a]))
             blobs.append(pack(rows[a:b]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["_bucket", "_rows"])
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["_bucket", "_rows"])
+
+    def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        made, size = [], 0
+        for doc, raw in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
+            if doc is None or len(raw) < LENGTH:
+                continue
+            made.append(Anchors(raw, LENGTH, GRAM).rows(doc, hot))
+            size += len(raw)
+            if size >= SETTLE_BYTES:
+                yield settled(made)
+                made, size = [], 0
+        if made:
+            yield settled(made)
 
     return docs.mapInArrow(per_batch(lambda: step), "_bucket bigint, _rows binary")
 
@@ -277,18 +287,20 @@ def _frequent_anchors(texts: DataFrame) -> tuple[int, np.ndarray]:
     They decide how rows are dealt out, not what is found.
     """
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        grams = [np.unique(Anchors(raw, LENGTH, GRAM).grams) for raw in byte_list(batch.column(1)) if len(raw) >= LENGTH]
+        texts = byte_list(batch.column(1))
+        grams = [np.unique(Anchors(raw, LENGTH, GRAM).grams) for raw in texts if len(raw) >= LENGTH]
         key, n = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        size = sum(len(raw) for raw in byte_list(batch.column(1)))
-        again = n > 1  # what is frequent is so in a batch, too
-        yield pa.RecordBatch.from_arrays([pa.array([None, None, *key[again].view(np.int64).tolist()], pa.int64()), pa.array([size, 0, *n[again].tolist()], pa.int64())], names=["_h", "_n"])
+        columns = [[None, *key.view(np.int64).tolist()], [len(texts), *n.tolist()], [sum(map(len, texts)), *[0] * len(key)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["_h", "_n", "_size"])
 
     some = texts.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(SAMPLE)) == 0)
-    counts = materialise(some.mapInArrow(per_batch(lambda: step), "_h bigint, _n bigint").groupBy("_h").agg(F.sum("_n").alias("_n")), "suffix-sample")
-    size = (counts.filter("_h IS NULL").agg(F.sum("_n")).first()[0] or 0) * SAMPLE
-    least = max(4.0, _HOT_SHARE * size / SAMPLE / 2000)
-    top = counts.filter(F.col("_h").isNotNull() & (F.col("_n") >= least)).orderBy(F.col("_n").desc(), "_h").limit(HOT).collect()
-    return size, np.array([r["_h"] for r in top], dtype=np.int64).view(np.uint64)
+    counts = some.mapInArrow(per_batch(lambda: step), "_h bigint, _n bigint, _size bigint").groupBy("_h").agg(F.sum("_n").alias("_n"), F.sum("_size").alias("_size"))
+    counts = materialise(counts.filter("_h IS NULL OR _n > 3"), "suffix-sample")
+    whole = counts.filter("_h IS NULL").first()
+    if whole is None:
+        return 0, np.zeros(0, dtype=np.uint64)
+    top = counts.filter(F.col("_h").isNotNull() & (F.col("_n") >= HOT_SHARE * whole["_n"])).orderBy(F.col("_n").desc(), "_h").limit(HOT).collect()
+    return whole["_size"] * SAMPLE, np.array([r["_h"] for r in top], dtype=np.int64).view(np.uint64)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: DataFrame | None = None) -> DataFrame:
@@ -307,8 +319,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return spans.groupBy("_doc").agg(F.collect_list("_span").alias(name))
 
     asked = texts.join(of_document(met.filter("_ask"), "_asked"), F.col("_id") == F.col("_doc"), "left")
-    fetched = asked.select(F.col("_id").cast("long"), "_text", "_asked").mapInArrow(_surroundings(buckets), "_bucket bigint, _rows binary")
-    compared = fetched.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_compare, _FOUND)
+    # what is carried goes along, unused, so that both joins read the same shuffle of the texts
+    carried_names = [c for c in texts.columns if c not in ("_id", "_text")]
+    fetched = asked.select(F.col("_id").cast("long"), "_text", "_asked", *carried_names).mapInArrow(_surroundings(buckets), "_bucket bigint, _rows binary")
+    # by number, as the work of a task is far more than its bytes say
+    tasks = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    compared = fetched.repartition(tasks, "_bucket").sortWithinPartitions("_bucket").mapInArrow(_compare, _FOUND)
     spans = met.filter("NOT _ask").unionByName(compared).select("_doc", "_span")
     return texts.join(of_document(spans, "_spans"), F.col("_id") == F.col("_doc"), "left").drop("_doc")
 
