@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, skew_safe_lookup, text_or_empty
+from .common import materialise, skew_safe_lookup, text_or_empty, without
 
 PREFIX_CHARS = 64
 #: Bits of the hashed set of surviving groups: one megabyte to broadcast, at any size of input.
@@ -36,7 +36,7 @@ def _in_set(df: DataFrame, keys: DataFrame, key: Column, flag: str) -> DataFrame
     return at.join(F.broadcast(keys), F.col("_place") == F.col("_bucket"), "left").withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_place", "_slot", "_bucket", "_bits")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Classes of equal texts; equal means identical after each run of [\\x20\\x09-\\x0D] became one space.
 
     Returns id, keep_id, group_size, kept, full_hash, one row per row of docs.
@@ -49,6 +49,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null texts count as empty. Of equal texts the smallest id stays; all rows with that very id count as it (a
     repeated row is not told from itself). A null id never becomes keep_id where its group has another id. Empty input gives
     no rows. Columns other than the two are not looked at. full_hash is null for rows that steps 1 and 2 settled.
+    digests adds text_sha256, the hash of every text, which takes part in nothing: it makes the third scan read all.
     """
     texts = docs.select(F.col(id_col).alias("_id"), normalised(text_or_empty(text_col)).alias("_text"))
     length, prefix = F.octet_length("_text").cast("long"), F.xxhash64(F.substring("_text", 1, PREFIX_CHARS))
@@ -61,7 +62,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = materialise(_survivors(pairs, both), "exact-set")
 
     candidates = _in_set(texts.withColumns({"_length": length, "_prefix": prefix}), keys, both, "_alike")
-    hashed = materialise(candidates.select("_id", F.when(F.col("_alike"), F.sha2(F.col("_text").cast("binary"), 256)).alias("_hash")), "exact-hash")
+    full = F.sha2(F.col("_text").cast("binary"), 256)
+    digest = [full.alias("_digest")] if digests else []
+    hashed = materialise(candidates.select("_id", F.when(F.col("_alike"), full).alias("_hash"), *digest), "exact-hash")
 
     groups = hashed.filter(F.col("_hash").isNotNull()).groupBy("_hash").agg(F.min("_id").alias("_keep"), F.count("*").alias("_size")).filter("_size > 1")
     settled = F.coalesce("_hash", F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
@@ -69,10 +72,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = F.coalesce("_keep", "_id")
     full = F.when(~F.col("_key").startswith("#"), F.col("_key"))
     size = F.coalesce("_size", F.lit(1)).cast("long")
-    return found.select(F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"), full.alias("full_hash"))
+    return found.select(F.col("_id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"), full.alias("full_hash"), *([F.col("_digest").alias("text_sha256")] if digests else []))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_duplicates does not keep; all columns stay. Rows with a null id stay."""
-    gone = exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return without(docs, id_col, exact_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(id_col))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, bpe_columns, chat_tree, exact_dedup, html_extract, packing, quality_model, quality_rules, simhash, suffix_dedup, token_counts
-from .common import table, text_or_empty
+from .common import table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +56,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operator's classes, with the digest of every text; that of texts it did not need to read in full is made here."""
-    docs = table(spark, sf_dir, "documents")
-    digests = docs.select(F.col("doc_id").alias("_id"), F.sha2(exact_dedup.normalised(text_or_empty("text")).cast("binary"), 256).alias("text_sha256"))
-    found = exact_dedup.exact_duplicates(docs)
-    return found.join(digests, F.col("doc_id") == F.col("_id")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_simhash, op3_html_extract, op4_quality_model, op5_packing, op6_token_counts, op7_bpe, op8_suffix_dedup, op9_quality_rules, op10_exact_dedup)}
