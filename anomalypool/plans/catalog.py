@@ -226,6 +226,13 @@ def stable_rank(spark, sf_dir):
     return o.select("o_orderkey", scalars.stable_rank(42, "pick", F.col("o_orderkey")).alias("r"))
 
 
+@query()
+def stable_rank_all(spark, sf_dir):
+    """Every order. The SQL of stable_rank, and so that query, stops at o_orderkey 2,000."""
+    o = tables.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", scalars.stable_rank(42, "pick", F.col("o_orderkey")).alias("r"))
+
+
 @query(f"SELECT c_custkey, CASE WHEN {_CRC.format(k=chr(39) + '42|split|' + chr(39) + ' || c_custkey')} < 0.3::DOUBLE THEN 'dev' ELSE 'test' END AS side FROM customer")
 def hash_split(spark, sf_dir):
     return tables.table(spark, sf_dir, "customer").select("c_custkey", scalars.hash_side(0.3, 42, "split", F.col("c_custkey")).alias("side"))

@@ -1,6 +1,7 @@
 """Every query against the SQL that says the same."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -39,3 +40,11 @@ def test_query_equals_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"compose_split", "legacy_samples"}))
 def test_query_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_stable_rank_of_every_order(spark):
+    """By zlib, on the whole table."""
+    ids = [r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()]
+    got = {r["o_orderkey"]: r["r"] for r in catalog.QUERIES["stable_rank_all"](spark, SF).collect()}
+    assert len(ids) == len(set(ids)) and max(ids) > 2000
+    assert got == {i: zlib.crc32(f"42|pick|{i}".encode()) / 2**32 for i in ids}
