@@ -1,10 +1,12 @@
-"""Main text of web pages: structure decides where it can, a suffix array of each host decides the rest.
+"""Main text of web pages: structure decides where it can, what each host repeats decides the rest.
 
 A page becomes blocks in four zones: article, main (inside main or the like, but no article), chrome (inside menus,
 headers, footers, sidebars, notices, adverts, forms, comments) and open (none of these). Pages with an article keep
-it, others what is main. Of pages with neither, the open blocks lose what the host repeats: the token streams of all
-open and chrome blocks of a host are sorted by their suffixes, to a depth of MIN_TOKENS, and what two different pages
-share is boilerplate.
+it, others what is main. Of pages with neither, the open blocks lose what the host repeats. No suffix array is built:
+windows of MIN_TOKENS tokens over the whole streams of open and chrome blocks, across the ends of blocks, are grouped
+by their 64-bit hashes, and tokens in a window that two different pages share are repeated. A block goes if all its
+tokens are; of other blocks only stretches of MIN_PROSE tokens or more do, so that prose keeps the phrases that pages
+share by chance.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import byte_list, materialise, per_batch
 
 MIN_TOKENS = 6  # least length of a repeated run
+MIN_PROSE = 10  # least length of a repeated stretch that is cut out of a block with other tokens
 #: Fixed values of HTML: elements by what they do to text, and words in class, id and role that tell what a part is.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -151,53 +155,54 @@ def host_of(url: str) -> str:
     return m[1] if m else ""
 
 
-_PARSED = "_page {id}, _url string, _host string, _article string, _open array<string>, _chrome array<string>"
+_PARSED = "_page {id}, _url string, _host string, _article string, _blocks array<struct<open:boolean,text:string>>, _streams array<string>"
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """_page, _url, _host, _article (null without one), _open, _chrome: each page's blocks by zone."""
+    """_page, _url, _host, _article (null without one), _blocks (open and chrome ones of a page without one), _streams (their texts joined, apart where article or main lies between)."""
     rows = pages.select(F.col(id_col).alias("_page"), F.col(url_col).alias("_url"), F.col(html_col))
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        hosts, articles, open_, chrome = [], [], [], []
+        hosts, articles, rest, streams = [], [], [], []
         for url, raw in zip(byte_list(batch.column(1)), byte_list(batch.column(2))):
             blocks = page_blocks(raw.decode("utf-8", "replace"))
             own = [t for z, t in blocks if z == "article"] or [t for z, t in blocks if z == "main"]
             hosts.append(host_of(url.decode("utf-8", "replace")))
             articles.append("\n".join(own) if own else None)
-            open_.append([t for z, t in blocks if z == "open"])
-            chrome.append([t for z, t in blocks if z == "chrome"])
-        strings = pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(articles, pa.string()), pa.array(open_, strings), pa.array(chrome, strings)], names=["_page", "_url", "_host", "_article", "_open", "_chrome"])
+            rest.append(None if own else [{"open": z == "open", "text": t} for z, t in blocks])
+            streams.append([" ".join(t for _, t in part) for beside, part in groupby(blocks, lambda b: b[0] in ("open", "chrome")) if beside])
+        kinds = pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())])), pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(articles, pa.string()), pa.array(rest, kinds[0]), pa.array(streams, kinds[1])], names=["_page", "_url", "_host", "_article", "_blocks", "_streams"])
 
     return rows.mapInArrow(per_batch(lambda: step), _PARSED.format(id=rows.schema["_page"].dataType.simpleString()))
 
 
-def _suffixes(parsed: DataFrame) -> DataFrame:
-    """_host, _page, _text, _run, _gram: every suffix of every block's token stream that has MIN_TOKENS tokens, by a hash of as many.
+def _windows(parsed: DataFrame) -> DataFrame:
+    """_host, _page, _text, _undecided, _at, _gram: hashes of all MIN_TOKENS tokens in a row of every stream, and where they start.
 
-    Runs number the open blocks from 0; those of chrome, which only bear witness, are -1. _text is a hash of what the
-    page is about, so that copies of a page don't make each other boilerplate.
+    A page without an article has one stream. _text is a hash of what the page is about, so that copies of a page
+    don't make each other boilerplate.
     """
     def grams(text):
         words = F.split(text, " ")
         return F.transform(F.sequence(F.lit(0), F.size(words) - MIN_TOKENS), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, MIN_TOKENS), " ")))
 
-    blocks = F.concat(F.transform("_open", lambda t, i: F.struct(i.cast("int").alias("run"), t.alias("text"))), F.transform("_chrome", lambda t: F.struct(F.lit(-1).alias("run"), t.alias("text"))))
-    about = F.xxhash64(F.coalesce("_article", F.array_join("_open", "\n"))).alias("_text")
-    exploded = parsed.select("_host", "_page", "_article", about, F.explode(blocks).alias("_b")).filter(F.size(F.split("_b.text", " ")) >= MIN_TOKENS)
-    return exploded.select("_host", "_page", "_text", F.col("_article").isNull().alias("_undecided"), F.col("_b.run").alias("_run"), F.posexplode(grams(F.col("_b.text"))).alias("_at", "_gram"))
-
-
-def _without_runs(open_blocks, covered):
-    """Python: open blocks without the tokens that covered (run, start of MIN_TOKENS) names."""
-    gone: dict[int, set[int]] = {}
-    for c in covered or ():
-        gone.setdefault(c["run"], set()).update(range(c["at"], c["at"] + MIN_TOKENS))
-    out = []
-    for run, text in enumerate(open_blocks):
-        text = " ".join(w for i, w in enumerate(text.split(" ")) if i not in gone.get(run, ()))
-        if text:
+    opened = F.transform(F.filter("_blocks", lambda b: b["open"]), lambda b: b["text"])
+    about = F.xxhash64(F.coalesce("_article", F.array_join(opened, "\n"))).alias("_text")
+    streams = parsed.select("_host", "_page", about, F.col("_article").isNull().alias("_undecided"), F.explode("_streams").alias("_s")).filter(F.size(F.split("_s", " ")) >= MIN_TOKENS)
+    return streams.select("_host", "_page", "_text", "_undecided", F.posexplode(grams(F.col("_s"))).alias("_at", "_gram"))
+
+
+def _without_repeats(blocks, covered):
+    """Python: open blocks without what windows of MIN_TOKENS at covered repeat; a block goes whole or in stretches of MIN_PROSE tokens or more."""
+    gone = {i for at in covered or () for i in range(at, at + MIN_TOKENS)}
+    out, first = [], 0
+    for block in blocks:
+        words = block["text"].split(" ")
+        stretches = [(repeated, list(own)) for repeated, own in groupby(range(len(words)), lambda i: first + i in gone)]
+        first += len(words)
+        if block["open"] and any(not repeated for repeated, _ in stretches):
+            text = " ".join(words[i] for repeated, own in stretches if not repeated or len(own) < MIN_PROSE for i in own)
             out.append(text)
     return "\n".join(out)
 
@@ -210,17 +215,16 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     when repeats are looked for. Very long pages are parsed whole.
     """
     parsed = materialise(parsed_pages(pages, id_col, url_col, html_col), "html-parsed")
-    suffixes = _suffixes(parsed)
-    # equal neighbours in the sorted suffixes, to the depth of MIN_TOKENS, from different pages
-    intervals = suffixes.groupBy("_host", "_gram").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last"))
+    windows = _windows(parsed)
+    intervals = windows.groupBy("_host", "_gram").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last"))
     shared = intervals.filter("_first <> _last").select(F.col("_host").alias("_h"), F.col("_gram").alias("_g"))
-    undecided = suffixes.filter("_undecided AND _run >= 0")
+    undecided = windows.filter("_undecided")
     hits = undecided.join(shared, (F.col("_host") == F.col("_h")) & (F.col("_gram") == F.col("_g")))
-    covered = hits.groupBy("_page").agg(F.collect_set(F.struct(F.col("_run").alias("run"), F.col("_at").alias("at"))).alias("_covered")).withColumnRenamed("_page", "_p")
-    opened = parsed.filter("_article IS NULL").join(covered, F.col("_page") == F.col("_p"), "left").select("_page", "_url", "_open", "_covered")
+    covered = hits.groupBy("_page").agg(F.collect_set("_at").alias("_covered")).withColumnRenamed("_page", "_p")
+    opened = parsed.filter("_article IS NULL").join(covered, F.col("_page") == F.col("_p"), "left").select("_page", "_url", "_blocks", "_covered")
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        texts = [_without_runs(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        texts = [_without_repeats(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_page", "_url", "_article"])
 
     kind = parsed.schema["_page"].dataType.simpleString()

@@ -185,6 +185,15 @@ def test_html_of_pages_without_an_article(spark):
     assert got[3]["text"] == line and got[4]["text"] == "" and got[4]["n_chars"] == 0 and got[5]["text"].startswith("A & B") and got[6]["text"] == got[0]["text"]
 
 
+def test_html_menus_of_short_blocks_go_and_phrases_of_prose_stay(spark):
+    menu = "".join(f"<div>{x}</div>" for x in ("Home", "About us", "Contact", "News", "Sports desk", "Weather"))
+    footer = "<ul>" + "".join(f"<li>{x}" for x in ("Terms", "Privacy", "Imprint", "Help", "Jobs", "Press")) + "</ul>"
+    prose = [f"{a} woke in the middle of the night and {b} left town {c} times" for a, b, c in (("Ann", "Bob", "two"), ("Cid", "Dan", "six"), ("Eve", "Fay", "ten"))]
+    rows = [(i, "http://h/", f"<body>{menu}<p>{p}</p>{footer}") for i, p in enumerate(prose)]
+    got = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(prose))
+
+
 @given(st.text(alphabet="ab |#!\n\t", max_size=120))
 @settings(max_examples=150)
 def test_counts(text):
