@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -21,8 +21,8 @@ def check_schema(points: DataFrame, metadata: DataFrame) -> None:
         raise PoolError(f"points: {wrong}; metadata: {lost}")
 
 
-def violations(points: DataFrame, metadata: DataFrame, lengths: tuple[int, int] | None = None, max_ratio: float | None = None) -> DataFrame:
-    """One row a check: (check, violations). The points are read once."""
+def violations(points: DataFrame, metadata: DataFrame, lengths: tuple[int, int] | None = None, max_ratio: float | Column | None = None) -> DataFrame:
+    """One row a check: (check, violations). The points are read once. max_ratio may be a column over metadata, a cap for each row."""
     seen = points.groupBy("series_id").agg(
         F.count("*").alias("_n"), F.sum("label").alias("_a"), F.min("time_index").alias("_lo"), F.max("time_index").alias("_hi"), F.sum("time_index").alias("_t"),
         F.sum((~finite(F.col("value")) | F.col("value").isNull()).cast("int")).alias("_inf"), F.sum((~F.col("label").isin(0, 1) | F.col("label").isNull()).cast("int")).alias("_lab"),

@@ -82,7 +82,9 @@ def build(points: DataFrame, group: str, config: SamplerConfig = SamplerConfig()
 
 def publish(pool: dict, root: str, group: str, config: SamplerConfig = SamplerConfig(), full: bool = True) -> None:
     """Validate, then write: nothing is written of a pool that violates anything."""
-    ratio = None if config.legacy else config.max_anomaly_ratio
+    ratio = config.max_anomaly_ratio
+    if config.legacy:
+        ratio = F.when(F.coalesce("source_notes", F.lit("")).contains("whole_series"), config.legacy_max_ratio).otherwise(config.legacy_acceptable_ratio)
     validate.validate(pool["points"], pool["metadata"], lengths=(config.min_length, config.max_length), max_ratio=ratio)
     write_pool(pool["points"], pool["metadata"], root, group)
     if full:

@@ -116,6 +116,17 @@ def test_each_invariant_fires(spark, check):
         validate.validate(*BREAKS[check](p, m), **limits)
 
 
+def test_legacy_pools_are_held_to_a_cap_for_each_row(spark, tmp_path):
+    config = SamplerConfig(legacy=True, min_length=3, base_chunk=5, legacy_chunk_max=5)
+    p = spark.createDataFrame([(s, i, 0.5, int(i < 2)) for s in "ab" for i in range(10)], "series_id string, time_index bigint, value double, label tinyint")
+    m = spark.createDataFrame([("a", 10, 2, 1, "period=5;whole_series", 0.2), ("b", 10, 2, 1, None, 0.2)], "series_id string, length bigint, num_point_anomalies bigint, y_i int, source_notes string, anomaly_ratio double")
+    pool = lambda *ids: {k: x.filter(F.col("series_id").isin(*ids)) for k, x in (("points", p), ("metadata", m), ("full_points", p), ("full_metadata", m))} | {"stats": {}}
+    with pytest.raises(validate.PoolError, match="'anomaly_budget': 1"):
+        real_pool.publish(pool("a", "b"), f"file://{tmp_path}", "R", config)
+    assert not any(tmp_path.iterdir())
+    real_pool.publish(pool("a"), f"file://{tmp_path}", "R", config)
+
+
 def test_schema_is_checked(spark):
     p = spark.createDataFrame([("a", 0, 1.0, 0)], "series_id string, time_index int, value double, label tinyint")
     with pytest.raises(validate.PoolError):
