@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -430,13 +431,13 @@ def deep_detect(spark, sf_dir):
 
 @query()
 def gen_series(spark, sf_dir):
-    made = synthetic_pool.series(spark, PoolConfig.of("S2", num_series=200))
+    made = synthetic_pool.series(spark, PoolConfig.of("S2"))
     return made.drop("values", "labels")
 
 
 @query()
 def inject_families(spark, sf_dir):
-    made = synthetic_pool.series(spark, PoolConfig.of("S1", num_series=200, anomaly_rate=1.0))
+    made = synthetic_pool.series(spark, PoolConfig.of("S1", anomaly_rate=1.0))
     return made.groupBy("anomaly_type").agg(F.count("*").alias("n"), F.min("detect_z").alias("least_z"), F.max("anomaly_fraction").alias("most_anomalous"))
 
 
@@ -446,12 +447,11 @@ def _raw(spark, sf_dir):
 
 @query()
 def compose_split(spark, sf_dir):
-    return real_pool.build(_raw(spark, sf_dir), "R", KNOBS)["metadata"]
+    """At the pool size of production, unlike the other queries with KNOBS."""
+    return real_pool.build(_raw(spark, sf_dir), "R", replace(KNOBS, pool_size=SamplerConfig().pool_size))["metadata"]
 
 
 @query()
 def legacy_samples(spark, sf_dir):
-    from dataclasses import replace
-
     config = replace(KNOBS, legacy=True, legacy_chunk_max=1_000, legacy_target_ratio=0.002, legacy_acceptable_ratio=0.004, legacy_max_ratio=0.27)
     return real_pool.legacy_samples(_raw(spark, sf_dir), config).drop("positions")

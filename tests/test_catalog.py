@@ -48,3 +48,12 @@ def test_stable_rank_of_every_order(spark):
     got = {r["o_orderkey"]: r["r"] for r in catalog.QUERIES["stable_rank_all"](spark, SF).collect()}
     assert len(ids) == len(set(ids)) and max(ids) > 2000
     assert got == {i: zlib.crc32(f"42|pick|{i}".encode()) / 2**32 for i in ids}
+
+
+def test_queries_of_pools_run_at_the_defaults(spark, monkeypatch):
+    assert catalog.QUERIES["gen_series"](spark, SF).count() == 2000
+    assert sum(r["n"] for r in catalog.QUERIES["inject_families"](spark, SF).collect()) == 2000
+    seen = []
+    monkeypatch.setattr(catalog.real_pool, "build", lambda points, group, config: seen.append(config) or {"metadata": points})
+    catalog.QUERIES["compose_split"](spark, SF)
+    assert [c.pool_size for c in seen] == [2900]
