@@ -1,153 +1,35 @@
-"""Main text of web pages: structure decides where it can, what each host repeats decides the rest.
-
-A page becomes blocks in four zones: article, main (inside main or the like, but no article), chrome (inside menus,
-headers, footers, sidebars, notices, adverts, forms, comments) and open (none of these). Pages with an article keep
-it, others what is main. Of pages with neither, the open blocks lose what the host repeats. No suffix array is built:
-windows of MIN_TOKENS tokens over the whole streams of open and chrome blocks, across the ends of blocks, are grouped
-by their 64-bit hashes, and tokens in a window that two different pages share are repeated. A block goes if all its
-tokens are; of other blocks only stretches of MIN_PROSE tokens or more do, so that prose keeps the phrases that pages
-share by chance.
+"""Main text of web pages: what a host repeats on its pages, by a suffix array of their token streams, and the markup as one input.
+
+Markup gives blocks in zones (html_blocks). The blocks of every page that are not plainly article, menus and footers
+included, are its streams; the host's suffix array tells which of their tokens stand in strings of MIN_TOKENS tokens
+that another page of the host has too (host_suffixes). Then a page's text is the article, or what is main if there is
+none, or else what no zone claims. Of blocks in plain article or main all stays; blocks of a doubtful zone, and those
+that no zone claims, lose what is repeated: the block, if all its tokens are, otherwise only stretches of MIN_PROSE
+tokens or more, so that prose keeps the phrases that pages share by chance.
 """
 
 from __future__ import annotations
 
-import html
+import json
 import re
+import zlib
 from collections.abc import Iterable
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_list, materialise, per_batch
+from .host_suffixes import page_hashes, repeated_strings, with_row_numbers
+from .html_blocks import page_blocks
 
-MIN_TOKENS = 6  # least length of a repeated run
+MIN_TOKENS = 6  # least length of a repeated string
 MIN_PROSE = 10  # least length of a repeated stretch that is cut out of a block with other tokens
-#: Fixed values of HTML: elements by what they do to text, and words in class, id and role that tell what a part is.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
-)
-CONTAINER = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr li dd dt".split()) | {"td", "th"}
-UNSEEN = frozenset("head title style script noscript template iframe object embed canvas svg math audio video select option datalist textarea button".split())
-RAW = frozenset("script style textarea title noscript iframe template".split())
-CHROME = frozenset("nav footer aside form menu dialog search".split())
-ARTICLE_WORDS = frozenset("article articlebody post entry story main".split())
-CHROME_WORDS = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar aside complementary banner contentinfo ad ads advert adverts advertisement advertising promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login breadcrumb breadcrumbs share sharing social related recommended pagination pager toolbar widget comment comments disqus respond reply replies search form skip".split()
-)
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</[^>]*>", re.S
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_WORD = re.compile(r"[a-z]+")
-
-
-def _role_of(tag: str, attributes: str, inside_article: bool) -> str:
-    """'article', 'main', 'chrome', 'hidden' or ''."""
-    if tag in UNSEEN:
-        return "hidden"
-    words: set[str] = set()
-    if attributes and not attributes.isspace():
-        for name, *values in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), "".join(values).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return "hidden"
-            if name in ("class", "id", "role", "itemprop"):
-                words.update(_WORD.findall(value))
-    if tag in CHROME or tag == "header" and not inside_article:
-        return "chrome"
-    chrome = words & CHROME_WORDS
-    if tag in ("article", "main"):
-        return "chrome" if words & {"comment", "comments", "reply", "replies"} else tag
-    if tag == "body" or tag == "html":
-        return ""
-    if chrome and not (inside_article and chrome <= {"header", "main"}):
-        return "chrome"
-    if tag in ("div", "section") and words & ARTICLE_WORDS:
-        return "article" if "articlebody" in words else "main"
-    return ""
-
-
-def page_blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block of a page in page order, without empty ones; zone is article, main, open or chrome.
-
-    Character references are decoded, white space inside a block is one space. An end tag closes what is open inside
-    its element; one without an element does nothing; what is never closed ends with the element around it.
-    """
-    blocks: list[tuple[str, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, zone inside, unseen inside
-    parts: list[str] = []
-    zone, unseen = "open", False
-
-    def flush() -> None:
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
-            if text:
-                blocks.append((zone, text))
-            parts.clear()
-
-    def reset() -> None:
-        nonlocal zone, unseen
-        _, zone, unseen = stack[-1] if stack else ("", "open", False)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if not unseen:
-            parts.append(page[at : m.start() if m else n])
-        if m is None:
-            break
-        at = m.end()
-        end, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag in BLOCK:
-            flush()
-        elif tag in ("br", "td", "th") and not unseen:
-            parts.append(" ")
-        if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(s[0] in BLOCK for s in stack[i:]) or stack[-1][1] != (stack[i - 1][1] if i else "open"):
-                        flush()
-                    del stack[i:]
-                    reset()
-                    break
-                if stack[i][0] in CONTAINER and tag not in CONTAINER:
-                    break
-            continue
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
-            continue
-        if tag in BLOCK:  # a block ends an open paragraph, an item the item before it
-            ends = {"p", "li"} if tag == "li" else {"p", "dd", "dt"} if tag in ("dd", "dt") else {"p"}
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CONTAINER:
-                    break
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    reset()
-                    break
-        role = _role_of(tag, attributes, zone in ("article", "main"))
-        inside = zone
-        if role in ("article", "main") and (zone != "chrome" or tag in ("article", "main") and not any(s[0] in CHROME for s in stack)):
-            inside = "article" if zone == "article" else role
-        elif role == "chrome":
-            inside = "chrome"
-        if inside != zone:
-            flush()
-        if role == "hidden" and not unseen and tag in BLOCK:
-            flush()
-        stack.append((tag, inside, unseen or role == "hidden"))
-        if tag in RAW and (close := re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)):
-            stack.pop()
-            at = close.end()
-            continue
-        reset()
-    flush()
-    return blocks
+
+Blocks = list[tuple[str, str]]
 
 
 def host_of(url: str) -> str:
@@ -155,79 +37,92 @@ def host_of(url: str) -> str:
     return m[1] if m else ""
 
 
-_PARSED = "_page {id}, _url string, _host string, _article string, _blocks array<struct<open:boolean,text:string>>, _streams array<string>"
+def level_of(blocks: Blocks) -> str:
+    """The zone that a page's text is in: article, else main, else open."""
+    zones = {z.rstrip("?") for z, _ in blocks}
+    return next((z for z in ("article", "main") if z in zones), "open")
+
+
+def streams_of(blocks: Blocks) -> list[str]:
+    """The texts of blocks that are not plainly article, joined; apart where article lies between."""
+    return [" ".join(t for _, t in part) for claimed, part in groupby(blocks, lambda b: b[0] == "article") if not claimed]
+
+
+def text_without(blocks: Blocks, repeated: set[int]) -> str:
+    """The page's text, where repeated are the positions in its streams of tokens that its host repeats."""
+    level, out, first = level_of(blocks), [], 0
+    for zone, text in blocks:
+        if zone == "article":
+            out.append(text)
+            continue
+        words = text.split(" ")
+        stretches = [(gone, list(own)) for gone, own in groupby(range(len(words)), lambda i: first + i in repeated)]
+        first += len(words)
+        if zone.rstrip("?") != level:
+            continue
+        if zone == "main":
+            out.append(text)
+        elif any(not gone for gone, _ in stretches):
+            out.append(" ".join(words[i] for gone, own in stretches if not gone or len(own) < MIN_PROSE for i in own))
+    return "\n".join(out)
+
+
+def _covered(begins: Iterable[int]) -> set[int]:
+    return {i for at in begins for i in range(at, at + MIN_TOKENS)}
+
+
+_PARSED = "_row bigint, _page {id}, _url string, _host string, _about bigint, _tokens int, _streams array<string>, _blocks binary"
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """_page, _url, _host, _article (null without one), _blocks (open and chrome ones of a page without one), _streams (their texts joined, apart where article or main lies between)."""
+    """One row a page: _row (its number), _page, _url, _host, _about (hash of what it is about), _tokens and _streams, _blocks (packed)."""
     rows = pages.select(F.col(id_col).alias("_page"), F.col(url_col).alias("_url"), F.col(html_col))
+    names = ["_page", "_url", "_host", "_about", "_tokens", "_streams", "_blocks"]
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        hosts, articles, rest, streams = [], [], [], []
+        made = []
         for url, raw in zip(byte_list(batch.column(1)), byte_list(batch.column(2))):
             blocks = page_blocks(raw.decode("utf-8", "replace"))
-            own = [t for z, t in blocks if z == "article"] or [t for z, t in blocks if z == "main"]
-            hosts.append(host_of(url.decode("utf-8", "replace")))
-            articles.append("\n".join(own) if own else None)
-            rest.append(None if own else [{"open": z == "open", "text": t} for z, t in blocks])
-            streams.append([" ".join(t for _, t in part) for beside, part in groupby(blocks, lambda b: b[0] in ("open", "chrome")) if beside])
-        kinds = pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())])), pa.list_(pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(articles, pa.string()), pa.array(rest, kinds[0]), pa.array(streams, kinds[1])], names=["_page", "_url", "_host", "_article", "_blocks", "_streams"])
+            level, streams = level_of(blocks), streams_of(blocks)
+            about = xxhash.xxh64_intdigest("\n".join(t for z, t in blocks if z.rstrip("?") == level).encode("utf-8", "replace"))
+            made.append((host_of(url.decode("utf-8", "replace")), about - (1 << 63), sum(s.count(" ") + 1 for s in streams), streams, zlib.compress(json.dumps(blocks).encode(), 1)))
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*made), kinds))], names=names)
 
-    return rows.mapInArrow(per_batch(lambda: step), _PARSED.format(id=rows.schema["_page"].dataType.simpleString()))
+    def run(batches):
+        return with_row_numbers(per_batch(lambda: step)(batches))
 
-
-def _windows(parsed: DataFrame) -> DataFrame:
-    """_host, _page, _text, _undecided, _at, _gram: hashes of all MIN_TOKENS tokens in a row of every stream, and where they start.
-
-    A page without an article has one stream. _text is a hash of what the page is about, so that copies of a page
-    don't make each other boilerplate.
-    """
-    def grams(text):
-        words = F.split(text, " ")
-        return F.transform(F.sequence(F.lit(0), F.size(words) - MIN_TOKENS), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, MIN_TOKENS), " ")))
-
-    opened = F.transform(F.filter("_blocks", lambda b: b["open"]), lambda b: b["text"])
-    about = F.xxhash64(F.coalesce("_article", F.array_join(opened, "\n"))).alias("_text")
-    streams = parsed.select("_host", "_page", about, F.col("_article").isNull().alias("_undecided"), F.explode("_streams").alias("_s")).filter(F.size(F.split("_s", " ")) >= MIN_TOKENS)
-    return streams.select("_host", "_page", "_text", "_undecided", F.posexplode(grams(F.col("_s"))).alias("_at", "_gram"))
-
-
-def _without_repeats(blocks, covered):
-    """Python: open blocks without what windows of MIN_TOKENS at covered repeat; a block goes whole or in stretches of MIN_PROSE tokens or more."""
-    gone = {i for at in covered or () for i in range(at, at + MIN_TOKENS)}
-    out, first = [], 0
-    for block in blocks:
-        words = block["text"].split(" ")
-        stretches = [(repeated, list(own)) for repeated, own in groupby(range(len(words)), lambda i: first + i in gone)]
-        first += len(words)
-        if block["open"] and any(not repeated for repeated, _ in stretches):
-            text = " ".join(words[i] for repeated, own in stretches if not repeated or len(own) < MIN_PROSE for i in own)
-            out.append(text)
-    return "\n".join(out)
+    return rows.mapInArrow(run, _PARSED.format(id=rows.schema["_page"].dataType.simpleString()))
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars: the main text of every page, empty if it has none; n_chars are code points.
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int | None = None) -> DataFrame:
+    """id, url, text, n_chars, n_tokens, n_repeated: the main text of every page, empty if it has none.
 
-    Null html counts as empty, null urls as one host without a name. Equal pages of a host are not told from copies
-    of an article: only pages without one lose what another page of their host repeats. Rows that repeat an id count as one page
-    when repeats are looked for. Very long pages are parsed whole.
+    n_chars are the text's code points. n_tokens are the tokens of the page's streams, n_repeated those of them that
+    its host repeats. Pages with the same text at their level (copies of an article) don't make each other's tokens
+    repeated. Null html counts as empty, null urls as one host without a name. Repeated ids give repeated rows. Very
+    long pages are parsed whole. No rows give none; columns other than the three are not looked at. Blocks of one host
+    (of block tokens) meet by 64-bit hashes of strings.
     """
     parsed = materialise(parsed_pages(pages, id_col, url_col, html_col), "html-parsed")
-    windows = _windows(parsed)
-    intervals = windows.groupBy("_host", "_gram").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last"))
-    shared = intervals.filter("_first <> _last").select(F.col("_host").alias("_h"), F.col("_gram").alias("_g"))
-    undecided = windows.filter("_undecided")
-    hits = undecided.join(shared, (F.col("_host") == F.col("_h")) & (F.col("_gram") == F.col("_g")))
-    covered = hits.groupBy("_page").agg(F.collect_set("_at").alias("_covered")).withColumnRenamed("_page", "_p")
-    opened = parsed.filter("_article IS NULL").join(covered, F.col("_page") == F.col("_p"), "left").select("_page", "_url", "_blocks", "_covered")
+    found = repeated_strings(parsed.select("_row", "_host", "_about", "_tokens", "_streams"), MIN_TOKENS, block).withColumnRenamed("_row", "_r")
+    joined = parsed.select("_row", "_page", "_url", "_tokens", "_blocks").join(found, F.col("_row") == F.col("_r"), "left")
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        texts = [_without_repeats(*x) for x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_page", "_url", "_article"])
+        texts, counts = [], []
+        for packed, begins, elsewhere in zip(*(batch.column(c).to_pylist() for c in ("_blocks", "_found", "_elsewhere"))):
+            blocks = json.loads(zlib.decompress(packed))
+            repeated = _covered(begins or ())
+            if elsewhere:
+                at, hashes = page_hashes([s.split(" ") for s in streams_of(blocks)], MIN_TOKENS)
+                repeated |= _covered(at[np.isin(hashes, np.array(elsewhere, dtype=np.int64).view(np.uint64))].tolist())
+            texts.append(text_without(blocks, repeated))
+            counts.append(len(repeated))
+        yield pa.RecordBatch.from_arrays([batch.column("_page"), batch.column("_url"), pa.array(texts, pa.string()), batch.column("_tokens"), pa.array(counts, pa.int32())], names=["_page", "_url", "_text", "_tokens", "_repeated"])
 
     kind = parsed.schema["_page"].dataType.simpleString()
-    left = opened.mapInArrow(per_batch(lambda: step), f"_page {kind}, _url string, _article string")
-    found = parsed.filter("_article IS NOT NULL").select("_page", "_url", "_article").unionByName(left)
-    return found.select(F.col("_page").alias(id_col), F.col("_url").alias(url_col), F.col("_article").alias("text"), F.length("_article").cast("long").alias("n_chars"))
+    done = joined.mapInArrow(per_batch(lambda: step), f"_page {kind}, _url string, _text string, _tokens int, _repeated int")
+    return done.select(
+        F.col("_page").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"),
+        F.col("_tokens").cast("long").alias("n_tokens"), F.col("_repeated").cast("long").alias("n_repeated"),
+    )

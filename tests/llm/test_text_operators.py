@@ -194,6 +194,60 @@ def test_html_menus_of_short_blocks_go_and_phrases_of_prose_stay(spark):
     assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(prose))
 
 
+@pytest.mark.parametrize(("inner", "text"), [
+    ('<p>to <a href="/hidden/cave">the cave</a></p>', "to the cave"), ('<p title="a hidden gem">kept</p>', "kept"), ('<p><a href="/view?id=menu">dishes</a> x</p>', "dishes x"),
+    ('<section class="related-work"><p>others did</p></section>', "others did"), ('<ul class="social-history"><li>it began</ul>', "it began"),
+    ('<h2 id="menu-planning">Menus</h2><div data-role="nav" class=x>y</div>', "Menus\ny"), ('<div class="post-comments"><p>hi</p></div><div hidden>h</div><p>z', "z"), ("<div class='ad'>a</div>b", "b"),
+])
+def test_html_attributes_are_names_with_values(inner, text):
+    blocks = html_extract.page_blocks(f"<body><nav>n</nav><article>{inner}</article>")
+    assert html_extract.text_without(blocks, set()) == text
+
+
+def _covered_by_force(rows, depth):
+    """{id: positions in the streams of tokens in strings that another page of the host, about something else, has too}."""
+    seen, places = {}, {}
+    for i, url, page in rows:
+        blocks = html_extract.page_blocks(page or "")
+        about = "\n".join(t for z, t in blocks if z.rstrip("?") == html_extract.level_of(blocks))
+        first = 0
+        for stream in html_extract.streams_of(blocks):
+            words = stream.split(" ")
+            for a in range(len(words) - depth + 1):
+                key = html_extract.host_of(url or ""), tuple(words[a : a + depth])
+                seen.setdefault(key, set()).add(about)
+                places.setdefault(i, []).append((key, first + a))
+            first += len(words)
+    return {i: {at + k for key, at in places.get(i, ()) if len(seen[key]) > 1 for k in range(depth)} for i, _, _ in rows}
+
+
+@pytest.mark.parametrize("block", [30, 500, 1 << 18])
+def test_host_suffix_arrays_find_every_repeat(spark, block):
+    rng, rows = random.Random(5), []
+    phrase = lambda n: " ".join(rng.choice("a b c d e f".split()) for _ in range(n))
+    shared = [phrase(rng.randint(4, 25)) for _ in range(6)]
+    for i in range(150):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else phrase(rng.randint(1, 9)) + f" {i}" for _ in range(rng.randint(0, 6))]
+        marks = [rng.choice(["div", "p", "nav", "footer", "article", "aside"]) for _ in parts]
+        page = "".join(f"<{m}>{p}</{m}>" for m, p in zip(marks, parts))
+        rows.append((i, f"http://{rng.choice(['big', 'big', 'big', 'small', 'tiny'])}/", rng.choice(rows)[2] if i % 9 == 8 else page))
+    rows += [(150, None, None), (151, None, ""), (152, "http://big/", "<article>only</article>")]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, text string, _row int").repartition(3)
+    want = _covered_by_force(rows, html_extract.MIN_TOKENS)
+    got = {r["page_id"]: r for r in html_extract.main_texts(df, block=block).collect()}
+    assert {i: r["n_repeated"] for i, r in got.items()} == {i: len(c) for i, c in want.items()}
+    assert {i: r["text"] for i, r in got.items()} == {i: html_extract.text_without(html_extract.page_blocks(p or ""), want[i]) for i, _, p in rows}
+    assert sum(map(len, want.values())) > 500
+
+
+def test_html_of_odd_rows(spark):
+    kind = "page_id long, url string, html string"
+    assert html_extract.main_texts(spark.createDataFrame([], kind)).count() == 0
+    rows = [(None, "http://h/", "<p>x"), (1, "http://h/", "<p>y"), (1, "http://h/", "<p>y"), (2, None, "<p>" + "w " * 40000)]
+    got = html_extract.main_texts(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", 1), ("1", 1), ("2", 79999), ("None", 1)]
+
+
 @given(st.text(alphabet="ab |#!\n\t", max_size=120))
 @settings(max_examples=150)
 def test_counts(text):
