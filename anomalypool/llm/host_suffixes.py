@@ -13,13 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-BLOCK = 1 << 18  # tokens in one suffix array
+BLOCK = 1 << 16  # tokens in one suffix array
 HEAVY = 1024  # hosts with most tokens that are dealt out to many tasks; they are broadcast
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +127,7 @@ def block_repeats(pages: list[list[list[str]]], about: list[int], depth: int) ->
     return found, asks, np.unique(hashes[told]) if len(told) else np.zeros(0, np.uint64)
 
 
-_SCHEMA = "_row bigint, _host string, _about bigint, _found array<int>, _asks array<bigint>, _tells array<bigint>"
+_SCHEMA = "_row binary, _host string, _about bigint, _found array<int>, _asks array<bigint>, _tells array<bigint>"
 _LISTS = pa.list_(pa.int32()), pa.list_(pa.int64())
 
 
@@ -142,7 +141,7 @@ def _of_hosts(depth: int, block: int):
         none = np.zeros(0, np.int64)
         told = [none if alone or i else tells.view(np.int64) for i in range(len(rows))]
         asked = [none if alone else a.view(np.int64) for a in asks]
-        columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([host] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.int64())]
+        columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([host] * len(rows), pa.string()), pa.array([r[1] for r in rows], pa.int64())]
         columns += [pa.array([f.astype(np.int32) for f in found], _LISTS[0]), pa.array(asked, _LISTS[1]), pa.array(told, _LISTS[1])]
         return pa.RecordBatch.from_arrays(columns, names=["_row", "_host", "_about", "_found", "_asks", "_tells"])
 
@@ -167,17 +166,8 @@ def _of_hosts(depth: int, block: int):
     return run
 
 
-def with_row_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with a first column _row that no other row of the table has: the task's number and a count."""
-    base, n = TaskContext.get().partitionId() << 40, 0
-    for batch in batches:
-        row = pa.array(np.arange(base + n, base + n + batch.num_rows))
-        n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([row, *batch.columns], names=["_row", *batch.schema.names])
-
-
 def repeated_strings(streams: DataFrame, depth: int, block: int | None = None) -> DataFrame:
-    """_row, _found array<int>, _elsewhere array<bigint>: of every row of (_row, _host, _about, _tokens, _streams), the positions (over all its streams) where strings of depth tokens begin that the host's other pages have too, and the hashes of more such strings.
+    """_row, _found array<int>, _elsewhere array<bigint>: of every key _row of (_row, _host, _about, _tokens, _streams), the positions (over all its streams) where strings of depth tokens begin that the host's other pages have too, and the hashes of more such strings.
 
     _found comes from the suffix array of the page's own block, _elsewhere from the host's other blocks. Pages of the
     same _about are one page. A host of more tokens than a block, among the HEAVY largest, is dealt to many tasks by
@@ -196,4 +186,5 @@ def repeated_strings(streams: DataFrame, depth: int, block: int | None = None) -
     shared = one.unionByName(told.withColumn("_many", F.lit(True))).groupBy("_host", "_string").agg(F.max("_many").alias("_many")).filter("_many")
     answers = asked.select("_row", "_host", "_string").join(shared.select("_host", "_string"), ["_host", "_string"])
     more = answers.groupBy("_row").agg(F.collect_set("_string").alias("_elsewhere"))
-    return blocks.select("_row", "_found").join(more, "_row", "left")
+    # rows of the same key differ in which block they were in at most, and each found all there is with what it asked
+    return blocks.groupBy("_row").agg(F.first("_found").alias("_found")).join(more, "_row", "left")

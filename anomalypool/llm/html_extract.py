@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_list, materialise, per_batch
-from .host_suffixes import page_hashes, repeated_strings, with_row_numbers
+from .host_suffixes import page_hashes, repeated_strings
 from .html_blocks import page_blocks
 
 MIN_TOKENS = 6  # least length of a repeated string
@@ -71,28 +71,44 @@ def _covered(begins: Iterable[int]) -> set[int]:
     return {i for at in begins for i in range(at, at + MIN_TOKENS)}
 
 
-_PARSED = "_row bigint, _page {id}, _url string, _host string, _about bigint, _tokens int, _streams array<string>, _blocks binary"
+def _rows(pages: DataFrame, url_col: str, html_col: str, *kept: str) -> DataFrame:
+    return pages.select(*kept, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
 
 
-def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """One row a page: _row (its number), _page, _url, _host, _about (hash of what it is about), _tokens and _streams, _blocks (packed)."""
-    rows = pages.select(F.col(id_col).alias("_page"), F.col(url_col).alias("_url"), F.col(html_col))
-    names = ["_page", "_url", "_host", "_about", "_tokens", "_streams", "_blocks"]
+def _key(url: bytes, raw: bytes) -> bytes:
+    """128 bits of all that a page's text depends on, so that the second reading finds what the first told of it."""
+    return xxhash.xxh3_128_digest(url + b"\0" + raw)
+
+
+def page_streams(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """_row (the page's key), _host, _about (hash of what it is about), _tokens and _streams of every page."""
+    names = ["_row", "_host", "_about", "_tokens", "_streams"]
+    kinds = [pa.binary(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         made = []
-        for url, raw in zip(byte_list(batch.column(1)), byte_list(batch.column(2))):
+        for url, raw in zip(byte_list(batch.column(0)), byte_list(batch.column(1))):
             blocks = page_blocks(raw.decode("utf-8", "replace"))
             level, streams = level_of(blocks), streams_of(blocks)
             about = xxhash.xxh64_intdigest("\n".join(t for z, t in blocks if z.rstrip("?") == level).encode("utf-8", "replace"))
-            made.append((host_of(url.decode("utf-8", "replace")), about - (1 << 63), sum(s.count(" ") + 1 for s in streams), streams, zlib.compress(json.dumps(blocks).encode(), 1)))
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*made), kinds))], names=names)
+            made.append((_key(url, raw), host_of(url.decode("utf-8", "replace")), about - (1 << 63), sum(s.count(" ") + 1 for s in streams), streams))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
+
+    return _rows(pages, url_col, html_col).mapInArrow(per_batch(lambda: step), "_row binary, _host string, _about bigint, _tokens int, _streams array<string>")
 
-    def run(batches):
-        return with_row_numbers(per_batch(lambda: step)(batches))
 
-    return rows.mapInArrow(run, _PARSED.format(id=rows.schema["_page"].dataType.simpleString()))
+def packed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """_page, _url, _row (the page's key), _blocks (its blocks, packed, as they are to travel) of every page."""
+    rows = _rows(pages, url_col, html_col, F.col(id_col).alias("_page"))
+
+    def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+        keys, packed = [], []
+        for url, raw in zip(byte_list(batch.column(1)), byte_list(batch.column(2))):
+            keys.append(_key(url, raw))
+            packed.append(zlib.compress(json.dumps(page_blocks(raw.decode("utf-8", "replace")), ensure_ascii=False).encode("utf-8", "replace")))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["_page", "_url", "_row", "_blocks"])
+
+    return rows.mapInArrow(per_batch(lambda: step), f"_page {rows.schema['_page'].dataType.simpleString()}, _url string, _row binary, _blocks binary")
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", block: int | None = None) -> DataFrame:
@@ -101,15 +117,16 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     n_chars are the text's code points. n_tokens are the tokens of the page's streams, n_repeated those of them that
     its host repeats. Pages with the same text at their level (copies of an article) don't make each other's tokens
     repeated. Null html counts as empty, null urls as one host without a name. Repeated ids give repeated rows. Very
-    long pages are parsed whole. No rows give none; columns other than the three are not looked at. Blocks of one host
-    (of block tokens) meet by 64-bit hashes of strings.
+    long pages are parsed whole. No rows give none; columns other than the three are not looked at. Pages are told apart
+    by 128-bit hashes, strings in different blocks of one host by 64 bits.
     """
-    parsed = materialise(parsed_pages(pages, id_col, url_col, html_col), "html-parsed")
-    found = repeated_strings(parsed.select("_row", "_host", "_about", "_tokens", "_streams"), MIN_TOKENS, block).withColumnRenamed("_row", "_r")
-    joined = parsed.select("_row", "_page", "_url", "_tokens", "_blocks").join(found, F.col("_row") == F.col("_r"), "left")
+    streams = materialise(page_streams(pages, url_col, html_col), "html-streams")
+    found = repeated_strings(streams, MIN_TOKENS, block)
+    # pages are parsed a second time, as that costs less than writing all their texts in between
+    joined = packed_pages(pages, id_col, url_col, html_col).join(found, "_row", "left")
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-        texts, counts = [], []
+        texts, sizes, counts = [], [], []
         for packed, begins, elsewhere in zip(*(batch.column(c).to_pylist() for c in ("_blocks", "_found", "_elsewhere"))):
             blocks = json.loads(zlib.decompress(packed))
             repeated = _covered(begins or ())
@@ -117,10 +134,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 at, hashes = page_hashes([s.split(" ") for s in streams_of(blocks)], MIN_TOKENS)
                 repeated |= _covered(at[np.isin(hashes, np.array(elsewhere, dtype=np.int64).view(np.uint64))].tolist())
             texts.append(text_without(blocks, repeated))
+            sizes.append(sum(s.count(" ") + 1 for s in streams_of(blocks)))
             counts.append(len(repeated))
-        yield pa.RecordBatch.from_arrays([batch.column("_page"), batch.column("_url"), pa.array(texts, pa.string()), batch.column("_tokens"), pa.array(counts, pa.int32())], names=["_page", "_url", "_text", "_tokens", "_repeated"])
+        yield pa.RecordBatch.from_arrays([batch.column("_page"), batch.column("_url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int32())], names=["_page", "_url", "_text", "_tokens", "_repeated"])
 
-    kind = parsed.schema["_page"].dataType.simpleString()
+    kind = joined.schema["_page"].dataType.simpleString()
     done = joined.mapInArrow(per_batch(lambda: step), f"_page {kind}, _url string, _text string, _tokens int, _repeated int")
     return done.select(
         F.col("_page").alias(id_col), F.col("_url").alias(url_col), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"),
