@@ -1,11 +1,11 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and its decoder.
 
-A merge (a, b) can only be undone from the right by an earlier merge that takes a token on b's right edge together
-with text beyond b. Following such merges in order of falling rank bounds how far to the right the text can matter:
-`Merges.lookahead` is the longest such chain in bytes, computed from the merge list. A token that ends more than
-that before the end of the window read so far never changes, so it can be emitted; and as no merge crosses the end
-of a token of the result, encoding goes on from there as from a fresh start. So a pre-token of any length takes a
-window of constant size.
+What a merge makes can only be undone from the right, by an earlier merge that takes a token on its right edge together
+with text beyond. Following such merges in order of rank bounds how far to the right of a token text can matter, for
+each token of the vocabulary: `Merges.need`, whose greatest, `Merges.lookahead`, suffices for the whole merge list. The
+transducer reads bytes, emits a token once as many bytes as it needs have been read behind it, and goes on from there as
+from a fresh start, since no merge crosses the end of a token of the result. So it holds a bounded number of bytes
+whatever it reads. Every pre-token goes through it; the end of a pre-token is an end of its input.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 LOW, NEVER = (1 << 32) - 1, 1 << 80
 CHUNK_CACHE = 150_000
-WINDOW = 512
+READ = 256  # bytes that the transducer reads at a time
 
 
 def byte_symbols() -> dict[str, int]:
@@ -53,28 +53,29 @@ class Merges:
         for c, b in symbols.items():
             self.byte_id[b] = vocab[c]
         self.pairs: dict[int, int] = {}  # the ids of both in one number -> rank and id made in one number
-        edge: dict[int, int] = {}  # id -> the right part it was merged from
         for rank, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]):
-            made = vocab[a + b]
-            self.pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | made
-            edge.setdefault(made, vocab[b])
-        self.lookahead = self._lookahead(edge)
-
-    def _lookahead(self, edge: dict[int, int]) -> int:
-        reach: dict[int, int] = {}  # id -> bytes right of it that earlier merges with it on their left can depend on
-        longest = 0
-        for pair in self.pairs:  # in order of rank
-            a, b = pair >> 32, pair & LOW
-            beyond, t = 0, b
-            while t is not None:
-                beyond = max(beyond, reach.get(t, 0))
-                t = edge.get(t)
-            reach[a] = max(reach.get(a, 0), len(self.bytes_of[b]) + beyond)
-            longest = max(longest, reach[a])
-        return longest
+            self.pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        self.need = self._needs()
+        self.lookahead = max(self.need)
+
+    def _needs(self) -> list[int]:
+        """For each id, how many bytes behind it suffice to tell that it stays.
+
+        A merge (a, b) stands or falls with what was there at its rank: whether b had come about (inner[b]) and was
+        not taken by an earlier merge with text behind it (reach[b], of the merges so far). Once it is done, only
+        merges of the token made matter.
+        """
+        reach = [0] * self.size  # bytes right of an id that the merges so far with it on their left can depend on
+        inner = [0] * self.size  # the same of the merges that the id comes about by
+        for pair, made in self.pairs.items():  # in order of rank
+            a, b, made = pair >> 32, pair & LOW, made & LOW
+            right = max(inner[b], reach[b])
+            inner[made] = max(inner[made], right)
+            reach[a] = max(reach[a], len(self.bytes_of[b]) + right)
+        return [max(x) for x in zip(inner, reach)]
 
     def merge(self, piece: bytes) -> list[int]:
-        """The ids of a short piece: the pair of least rank first, the leftmost among equals."""
+        """The ids of bytes that end here: the pair of least rank first, the leftmost among equals."""
         ids = [self.byte_id[b] for b in piece]
         get = self.pairs.get
         ranks = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:])]
@@ -91,19 +92,38 @@ class Merges:
                 ranks[i] = get(made << 32 | ids[i + 1], NEVER)
         return ids
 
-    def stream(self, piece: bytes, window: int = WINDOW) -> Iterator[int]:
-        """The ids of a piece of any length, each as soon as no later byte can change it."""
-        start, span = 0, window + self.lookahead
-        while len(piece) - start > span:
-            stable = start + window
-            done = start
-            for i in self.merge(piece[start : start + span]):
-                if done + len(self.bytes_of[i]) > stable:
-                    break
-                done += len(self.bytes_of[i])
-                yield i
-            start = done
-        yield from self.merge(piece[start:])
+
+class Transducer:
+    """Bytes in, ids out, each as soon as no later byte can change it."""
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        self.waiting, self.open = b"", []  # bytes read behind the last token emitted, and what they make if no more come
+
+    def feed(self, data: bytes) -> list[int]:
+        m = self.merges
+        waiting = self.waiting + data if self.waiting else data
+        ids = m.merge(waiting)
+        need, bytes_of, read, end, done, n = m.need, m.bytes_of, len(waiting), 0, 0, 0
+        for i in ids:
+            end += len(bytes_of[i])
+            if end + need[i] > read:
+                break
+            n, done = n + 1, end
+        self.waiting, self.open = waiting[done:], ids[n:]
+        return ids[:n]
+
+    def close(self) -> list[int]:
+        """The ids of what is left, as the input ends; the next feed begins anew."""
+        out = self.open
+        self.waiting, self.open = b"", []
+        return out
+
+    def whole(self, piece: bytes, read: int = READ) -> Iterator[int]:
+        """The ids of one input, read bytes at a time."""
+        for at in range(0, len(piece), read):
+            yield from self.feed(piece[at : at + read])
+        yield from self.close()
 
 
 @lru_cache(maxsize=4)
@@ -142,7 +162,7 @@ class Encoder:
     """
 
     def __init__(self, merges: Merges, encode_chunks: Callable[[list[str]], list[list[int]]] | None = None, render: Callable[[list[int]], object] = as_bytes, memory: int = CHUNK_CACHE) -> None:
-        self.merges, self.memory, self.render = merges, memory, render
+        self.merges, self.memory, self.render, self.transducer = merges, memory, render, Transducer(merges)
         self.encode_chunks = encode_chunks or self._transduce
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
@@ -152,19 +172,17 @@ class Encoder:
         self.pieces: dict[str, list[int]] = {}  # the transducer's recent pre-tokens
 
     def _transduce(self, chunks: list[str]) -> list[list[int]]:
-        m, out, known = self.merges, [], self.pieces
+        known, whole, out = self.pieces, self.transducer.whole, []
         for chunk in chunks:
             ids: list[int] = []
             for piece in self.split.findall(chunk):
                 found = known.get(piece)
                 if found is None:
-                    raw = piece.encode()
-                    if len(raw) > 64:
-                        ids += m.stream(raw)
-                        continue
-                    if len(known) >= self.memory:
-                        known.clear()
-                    found = known[piece] = m.merge(raw)
+                    found = list(whole(piece.encode()))
+                    if len(piece) <= 64:
+                        if len(known) >= self.memory:
+                            known.clear()
+                        known[piece] = found
                 ids += found
             out.append(ids)
         return out

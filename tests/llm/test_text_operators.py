@@ -44,11 +44,23 @@ def test_bpe_equals_the_library(library):
         assert "".join([*(decoder.feed([i]) for i in want), decoder.feed((), True)]) == library.decode(want, skip_special_tokens=False)
 
 
-@given(st.binary(min_size=1, max_size=300), st.integers(1, 20))
-@settings(max_examples=60, deadline=None)
-def test_the_stream_equals_the_whole(raw, window):
+@given(st.one_of(st.binary(max_size=300), st.text(alphabet="abcdehinorst .,-='/ ", max_size=300).map(str.encode)), st.integers(1, 20), st.integers(1, 9))
+@settings(max_examples=200, deadline=None)
+def test_the_transducer_equals_the_whole(raw, read, times):
     m = bpe.load_merges(V)
-    assert list(m.stream(raw * 9, window)) == m.merge(raw * 9)
+    assert list(bpe.Transducer(m).whole(raw * times, read)) == m.merge(raw * times)
+
+
+def test_the_transducer_emits_early_and_holds_little():
+    m, rng = bpe.load_merges(V), random.Random(4)
+    t, early, most = bpe.Transducer(m), 0, 0
+    raw = "".join(rng.choice("etaoin shrdlu,.") for _ in range(4_000)).encode()
+    for b in raw:
+        early += len(t.feed(bytes([b])))
+        most = max(most, len(t.waiting))
+    left = t.close()
+    assert early + len(left) == len(m.merge(raw)) and most <= m.lookahead + max(map(len, m.bytes_of)) < 300
+    assert t.close() == [] and t.feed(b"") == []
 
 
 def test_the_decoder_marks_what_is_no_text():
