@@ -69,10 +69,7 @@ def build(points: DataFrame, group: str, config: SamplerConfig = SamplerConfig()
     kept, stats = compose.compose(found, config, ["dataset", "recording"])
     kept = written(kept, "composed")
     if not config.legacy:
-        counted = {(r["dataset"], r["machine"]): (r["n_samples"], r["n_positives"]) for r in compose.machine_counts(kept).collect()}
-        sides = compose.split_machines(counted, group, config.dev_fraction, config.seed)
-        spark = points.sparkSession
-        sides = spark.createDataFrame([(*k, v) for k, v in sides.items()], "dataset string, machine string, side string")
+        sides = written(compose.split_machines(compose.machine_counts(kept), group, config.dev_fraction, config.seed), "sides")
         kept, found = (compose.with_split(x, sides, group, config) for x in (kept, found))
         if (apart := compose.straddling(kept).limit(5).collect()):
             raise validate.PoolError(f"machines on both sides: {apart}")

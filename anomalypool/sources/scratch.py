@@ -13,20 +13,40 @@ _own: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as spark.checkpoint.dir names it; where that is unset a temporary one, in local mode only."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all nodes share: intermediate tables are written there")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="anomalypool-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return "file://" + _own[0]
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df written once and read back, so that what follows neither recomputes it nor depends on how it was dealt."""
+    """df written once into the shared folder and read back, so that lineage ends here: what follows neither recomputes it nor depends on how it was dealt.
+
+    The files go with forget(), or when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what written() wrote. Nothing may be read from these tables any more, nor from what was derived from them."""
+    for t in tables:
+        where, files = _place(t.sparkSession, t._scratch_path)
+        files.delete(where, True)

@@ -75,13 +75,33 @@ def test_plan_is_feasible(counts, rate, share):
         assert sum(min(b, top) for _, b in counts) >= plan.positives and sum(min(a, top) for a, _ in counts) >= plan.size - plan.positives
 
 
-def test_split_keeps_machines_whole_and_near_the_goal():
+def test_split_keeps_machines_whole_and_near_the_goal(spark):
+    kind = "dataset string, machine string, n_samples bigint, n_positives bigint"
+
+    def split(counts):
+        found = compose.split_machines(spark.createDataFrame([(*k, *v) for k, v in counts.items()], kind), "R", 0.3, 42).collect()
+        assert len(found) == len(counts)
+        return {(r["dataset"], r["machine"]): r["side"] for r in found}
+
     counts = {("D", f"m{i}"): (10 + i, 2 + i % 3) for i in range(20)}
-    side = compose.split_machines(counts, "R", 0.3, 42)
+    side = split(counts)
     dev = np.sum([counts[k] for k in counts if side[k] == "dev"], axis=0)
     assert np.allclose(dev / np.sum(list(counts.values()), axis=0), 0.3, atol=0.02)
-    assert side == compose.split_machines(dict(reversed(counts.items())), "R", 0.3, 42)
-    assert set(compose.split_machines({("D", "a"): (1, 0), ("D", "b"): (1, 0)}, "R", 0.3, 42).values()) == {"dev", "test"}
+    assert side == split(dict(reversed(counts.items())))
+    assert set(split({("D", "a"): (1, 0), ("D", "b"): (1, 0)}).values()) == {"dev", "test"}
+    assert set(split({("D", "a"): (1, 0)}).values()) <= {"dev", "test"}
+
+
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(0, 9), st.integers(1, 50)), min_size=1, max_size=40, unique_by=lambda c: c[:2]), st.floats(0.05, 0.95))
+@settings(max_examples=80, deadline=None)
+def test_dev_quotas(classes, fraction):
+    quotas = compose.dev_quotas(classes, fraction)
+    assert all(0 <= q <= m for q, (_, _, m) in zip(quotas, classes))
+    machines = sum(m for _, _, m in classes)
+    assert machines < 2 or 0 < sum(quotas) < machines
+    if machines > 2:
+        goal = fraction * sum(n * m for n, _, m in classes)
+        assert abs(sum(n * q for (n, _, _), q in zip(classes, quotas)) - goal) <= max(n for n, _, _ in classes) + goal * 0.2
 
 
 @pytest.mark.parametrize("legacy", [False, True])
