@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,33 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_scratch: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder the cluster shares, as spark.checkpoint.dir names it; a temporary one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if "dir" not in _own_scratch:
-        _own_scratch["dir"] = tempfile.mkdtemp(prefix="anomalypool-")
-        atexit.register(shutil.rmtree, _own_scratch["dir"], ignore_errors=True)
-    return "file://" + _own_scratch["dir"]
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the shared folder and read it back: lineage ends here and a lost executor costs no recomputation.
-
-    The files go when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
+from ..sources.scratch import forget, written as materialise  # noqa: F401  what the operators write in between
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_list, materialise, per_batch, skew_safe_lookup, without
+from .common import byte_list, forget, materialise, per_batch, skew_safe_lookup, without
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 4, 4
 LEAST_LEAD, MOST_LEAD = 12, 24  # leading bits that variants are shuffled by, more for more fingerprints
@@ -196,14 +196,15 @@ def components(links: DataFrame, label: str) -> DataFrame:
     seen = tally(links)
     while True:
         both = links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-        m = materialise(least(both), f"{label}-least")
+        low = materialise(least(both), f"{label}-least")
         # large star: neighbours above a node move to its least neighbour, or to itself if it is the least
-        large = both.filter("_b > _a").join(m, F.col("_a") == F.col("_n")).select(F.col("_b").alias("_a"), F.least("_m", F.col("_n")).alias("_b"))
+        large = both.filter("_b > _a").join(low, F.col("_a") == F.col("_n")).select(F.col("_b").alias("_a"), F.least("_m", F.col("_n")).alias("_b"))
         large = materialise(large.filter("_a <> _b").distinct(), f"{label}-large")
         # small star: a node and its neighbours below move to the least of these
         m = materialise(least(large), f"{label}-least")
         small = large.join(m, F.col("_a") == F.col("_n")).select(F.explode(F.array(F.struct(F.col("_b").alias("_a"), F.col("_m").alias("_b")), F.struct("_a", F.col("_m").alias("_b")))).alias("_e"))
-        links = materialise(small.select("_e.*").filter("_a <> _b").distinct(), label)
+        before, links = links, materialise(small.select("_e.*").filter("_a <> _b").distinct(), label)
+        forget(before, low, large, m)
         now = tally(links)
         if now == seen:
             return links.select(F.col("_a").alias("_node"), F.col("_b").alias("_root"))

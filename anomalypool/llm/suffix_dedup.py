@@ -2,10 +2,10 @@
 
 A string of LENGTH bytes is found again through an anchor: the GRAM-byte windows in it of least hash, which depend on
 that string alone, so that all its copies have the same. All texts are sampled at these anchors, about one in 28
-bytes. Anchors meet by hash together with a hash of their surroundings, which hold all strings of LENGTH bytes around
-them. Where surroundings are equal, all but the first are covered whole. What is left are the first occurrences of
-different surroundings of the same anchor: their bytes are fetched and compared through a Burrows-Wheeler transform
-(bwt.py), block by block.
+bytes. Anchors meet by hash together with two independent hashes of their surroundings, which hold all strings of LENGTH
+bytes around them. Copies of the same surroundings, equal in all 128 bits of these, are gathered before anything is
+compared: all but the first are covered whole. What is left are the first occurrences of different surroundings of the
+same anchor: their bytes are fetched and compared through a Burrows-Wheeler transform (bwt.py), block by block.
 """
 
 from __future__ import annotations
@@ -28,20 +28,32 @@ BLOCK = 1 << 19  # bytes of surroundings that are sorted at once
 SAMPLE, HOT = 64, 1024  # of the texts, to find the most frequent anchors; how many of these are dealt out string by string
 HOT_SHARE = 1 / 256  # of the sampled texts that an anchor must be in to count as frequent
 SETTLE_BYTES = 8 << 20  # texts whose entries are sorted at once before they travel
-_BASE = 0x9E3779B97F4A7C15
-_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4")])
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("e", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("n", "<i4")])
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64."""
-    up = np.full(n, _BASE, dtype=np.uint64)
-    down = np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+    up = np.full(n, base, dtype=np.uint64)
+    down = np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUES = np.random.default_rng(7).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+
+
+class Rolling:
+    """One of two independent polynomial hashes of any string of a text."""
+
+    def __init__(self, raw: np.ndarray, which: int) -> None:
+        up, self.down = _powers(_BASES[which], 1 << max(16, (len(raw) + 1).bit_length()))
+        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_VALUES[which][raw] * up[: len(raw)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return _mix((self.sums[start + size] - self.sums[start]) * self.down[start])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +61,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor, mixed anew: anchors are least hashes, so their own leading bits are nearly all zero."""
+    return (_mix(h * np.uint64(_BASES[0]) + np.uint64(1)) >> np.uint64(64 - (buckets.bit_length() - 1))).astype(np.int64)
+
+
 def _slide(x: np.ndarray, width: int, least) -> np.ndarray:
     """least (or greatest) of every width neighbours."""
     span = 1
@@ -63,44 +80,42 @@ class Anchors:
 
     def __init__(self, raw: bytes, length: int, gram: int) -> None:
         n = len(raw)
-        size = 1 << max(16, (n + 1).bit_length())
-        up, down = _powers(size)
-        self.down, self.n, self.length, self.gram = down, n, length, gram
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[np.frombuffer(raw, dtype=np.uint8)] * up[:n], out=self.sums[1:])
-        grams = _mix(self.hash_of(np.arange(n - gram + 1), gram))
+        self.raw, self.n, self.length, self.gram = np.frombuffer(raw, dtype=np.uint8), n, length, gram
+        self.first = Rolling(self.raw, 0)
+        grams = self.first.of(np.arange(n - gram + 1), gram)
         width = length - gram + 1
         least = _slide(grams, width, np.minimum)
         edge = np.zeros(width - 1, dtype=np.uint64)
         self.at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
         self.grams = grams[self.at]
 
-    def hash_of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return (self.sums[start + size] - self.sums[start]) * self.down[start]
-
     def rows(self, doc: int, hot: np.ndarray) -> np.ndarray:
         """An entry for each anchor and its surroundings; for frequent anchors one for each string around it instead."""
+        second = Rolling(self.raw, 1)
         lo = np.maximum(self.at - (self.length - self.gram), 0)
-        hi = np.minimum(self.at + self.length, self.n)
+        size = np.minimum(self.at + self.length, self.n) - lo
         frequent = np.isin(self.grams, hot) if len(hot) else np.zeros(len(self.at), dtype=bool)
-        keep = ~frequent
-        out = np.empty(int(keep.sum()), dtype=_ROW)
-        out["h"], out["doc"], out["lo"], out["n"] = self.grams[keep], doc, lo[keep], (hi - lo)[keep]
-        out["c"] = _mix(self.hash_of(lo[keep], (hi - lo)[keep]) + (hi - lo)[keep].astype(np.uint64) * np.uint64(_BASE))
-        if not frequent.any():
+
+        def entries(start: np.ndarray, n: np.ndarray | int, h: np.ndarray | None) -> np.ndarray:
+            out = np.empty(len(start), dtype=_ROW)
+            out["c"], out["e"] = self.first.of(start, n) + np.asarray(n, dtype=np.uint64), second.of(start, n)
+            out["h"], out["doc"], out["lo"], out["n"] = out["e"] ^ _mix(out["c"]) if h is None else h, doc, start, n
             return out
-        starts = np.unique(np.concatenate([np.arange(a, b - self.length + 1) for a, b in zip(lo[frequent], hi[frequent])]))
-        more = np.empty(len(starts), dtype=_ROW)
-        whole = self.hash_of(starts, self.length)
-        more["h"], more["c"], more["doc"], more["lo"], more["n"] = _mix(whole * np.uint64(0x94D049BB133111EB)), _mix(whole), doc, starts, self.length
-        return np.concatenate([out, more])
+
+        made = entries(lo[~frequent], size[~frequent], self.grams[~frequent])
+        if not frequent.any():
+            return made
+        strings = np.unique(np.concatenate([np.arange(a, a + n - self.length + 1) for a, n in zip(lo[frequent], size[frequent])]))
+        return np.concatenate([made, entries(strings, self.length, None)])
 
 
 def _settle(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """rows in order of anchor and surroundings; which of them are first of their kind, and which are covered by such a first."""
-    rows = rows[np.lexsort((rows["lo"], rows["doc"], rows["c"], rows["h"]))]
+    rows = rows[np.lexsort((rows["lo"], rows["doc"], rows["e"], rows["c"], rows["h"]))]
     first = np.ones(len(rows), dtype=bool)
-    first[1:] = (rows["h"][1:] != rows["h"][:-1]) | (rows["c"][1:] != rows["c"][:-1])
+    for key in ("h", "c", "e"):
+        same = rows[key][1:] == rows[key][:-1]
+        first[1:] = ~same if key == "h" else first[1:] | ~same
     lead = rows[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(rows) else rows
     covered = ~first & ((rows["doc"] != lead["doc"]) | (rows["lo"] != lead["lo"]))
     return rows, first, covered
@@ -133,8 +148,6 @@ def _found(doc: np.ndarray, span: np.ndarray, ask: bool) -> Iterator[pa.RecordBa
 
 def _anchor_rows(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """_bucket, _rows: all entries by bucket, packed. Of equal entries of a batch only the first travels; the others, in buckets below 0, are covered."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-
     def pack(rows: np.ndarray) -> bytes:
         return b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in _ROW.names)
 
@@ -146,7 +159,9 @@ def _anchor_rows(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
             keys.append(-1 - int(doc[0]) % buckets)
             blobs.append(doc.tobytes() + span.tobytes())
         rows = rows[first]
-        bucket = (rows["h"] >> shift).astype(np.int64)
+        bucket = _bucket(rows["h"], buckets)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for a, b in zip(cuts, [*cuts[1:], len(rows)]):
             keys.append(int(bucket[a]))
@@ -218,8 +233,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _surroundings(buckets: int):
     """Of texts with the spans asked of them: (_bucket, _rows), the bytes of these spans by bucket of their anchor."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         keys, blobs = [], []
         for doc, raw, asked in zip(batch.column(0).to_pylist(), byte_list(batch.column(1)), batch.column(2).to_pylist()):
@@ -227,12 +240,12 @@ def _surroundings(buckets: int):
                 continue
             own = Anchors(raw, LENGTH, GRAM)
             span = {(max(a - (LENGTH - GRAM), 0), min(a + LENGTH, own.n)): [] for a in own.at.tolist()}
-            for a, h in zip(own.at.tolist(), own.grams):
-                span[max(a - (LENGTH - GRAM), 0), min(a + LENGTH, own.n)].append(h)
+            for a, h, b in zip(own.at.tolist(), own.grams, _bucket(own.grams, buckets).tolist()):
+                span[max(a - (LENGTH - GRAM), 0), min(a + LENGTH, own.n)].append((h, b))
             for s in set(asked):
                 lo, hi = s >> 32, s & 0xFFFFFFFF
-                for h in span.get((lo, hi), ()):
-                    keys.append(int(h >> shift))
+                for h, b in span.get((lo, hi), ()):
+                    keys.append(b)
                     blobs.append(h.tobytes() + np.array([doc, lo], dtype="<i8").tobytes() + raw[lo:hi])
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["_bucket", "_rows"])
 
@@ -244,16 +257,20 @@ def _late_strings(segments: list[bytes], doc: np.ndarray, lo: np.ndarray) -> lis
     return earlier_elsewhere(segments, (rank.astype(np.int64) << 32) + lo, LENGTH)
 
 
-def _late_by_offset(segments: list[bytes], doc: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
-    """The same for an anchor with more surroundings than a block holds: equal strings by their bytes, in order of place."""
-    seen: dict[bytes, tuple[int, int]] = {}
-    late: list[list[int]] = [[] for _ in segments]
-    for i in np.lexsort((lo, doc)):
-        raw, d, a = segments[i], int(doc[i]), int(lo[i])
-        for o in range(len(raw) - LENGTH + 1):
-            if seen.setdefault(raw[o : o + LENGTH], (d, a + o)) < (d, a + o):
-                late[i].append(o)
-    return [np.array(x, dtype=np.int64) for x in late]
+def _late_in_parts(segments: list[bytes], doc: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+    """The same for an anchor with more surroundings than a block holds: its strings are dealt to parts by hash, so that equal ones meet, and each part is a block."""
+    raw = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    sizes = np.array([len(s) for s in segments])
+    strings = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(segments)), strings)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    start = np.repeat(np.cumsum(sizes) - sizes, strings) + offset
+    part = Rolling(raw, 1).of(start, LENGTH) % np.uint64(len(owner) * (LENGTH + 1) // BLOCK + 1)
+    late = np.zeros(len(owner), dtype=bool)
+    for own in np.split(order := np.argsort(part, kind="stable"), np.flatnonzero(np.diff(part[order])) + 1):
+        found = _late_strings([raw[a : a + LENGTH].tobytes() for a in start[own]], doc[owner[own]], lo[owner[own]] + offset[own])
+        late[own] = [len(f) > 0 for f in found]
+    return [offset[a:b][late[a:b]] for a, b in zip(np.cumsum(strings) - strings, np.cumsum(strings))]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +292,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(begin, cuts[i])
             big = sum(map(len, segments[part])) > BLOCK
             doc, lo = head[part, 0], head[part, 1]
-            late = (_late_by_offset if big else _late_strings)(segments[part], doc, lo)
+            late = (_late_in_parts if big else _late_strings)(segments[part], doc, lo)
             n = np.array([len(x) for x in late])
             yield from _found(*_spans(np.repeat(doc, n), np.repeat(lo, n) + np.concatenate(late), np.full(int(n.sum()), LENGTH)), False)
             begin = cuts[i]

@@ -149,6 +149,25 @@ def test_frequent_anchors_change_nothing(spark, docs, monkeypatch):
     assert {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.deduplicated(docs).collect()} == want
 
 
+def test_anchors_spread_over_buckets():
+    raw = bytes(np.random.default_rng(2).integers(97, 123, 1 << 19, dtype=np.uint8))
+    sizes = np.bincount(suffix_dedup._bucket(suffix_dedup.Anchors(raw, 100, 48).grams, 64), minlength=64)
+    assert sizes.sum() > 10_000 and sizes.max() < 1.3 * sizes.mean()
+
+
+def test_an_anchor_with_very_many_surroundings(monkeypatch):
+    rng = random.Random(4)
+    gram = "".join(rng.choice("abcd") for _ in range(48))
+    side = lambda: "".join(rng.choice("xy") for _ in range(52))
+    segments = [(side() + gram + side()).encode() for _ in range(60)]
+    segments += [s[: rng.randint(100, 152)] for s in segments[:30]]
+    doc, lo = np.array([rng.randint(0, 40) for _ in segments]), np.arange(len(segments)) * 500
+    want = suffix_dedup._late_strings(segments, doc, lo)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    got = suffix_dedup._late_in_parts(segments, doc, lo)
+    assert [g.tolist() for g in got] == [w.tolist() for w in want] and sum(map(len, want)) > 300
+
+
 def test_suffix_dedup_of_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(4, text), (4, text), (9, text), (None, text)], "doc_id long, text string")
