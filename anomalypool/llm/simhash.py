@@ -80,8 +80,8 @@ class _Forest:
                 self.root = up
 
 
-def _meet(at: np.ndarray, fp: np.ndarray, left: np.ndarray, bits: int, links) -> None:
-    """Find fingerprints that share a variant: those of rows at vary in their lowest bits, each within what is left of its radius. links(i, j) takes pairs of rows.
+def meet(at: np.ndarray, fp: np.ndarray, left: np.ndarray, bits: int, runs) -> None:
+    """Find fingerprints that share a variant: those of rows at vary in their lowest bits, each within what is left of its radius. runs(variants, rows) takes the variants in order, with their rows.
 
     Too many variants for one go are split by their next four bits, so that memory is bounded for any number of
     fingerprints under one lead.
@@ -96,7 +96,7 @@ def _meet(at: np.ndarray, fp: np.ndarray, left: np.ndarray, bits: int, links) ->
             cost = np.bitwise_count(nibble ^ np.uint64(t)).astype(np.int64)
             inside = cost <= left
             if inside.sum() > 1:
-                _meet(at[inside], fp[inside], (left - cost)[inside], low, links)
+                meet(at[inside], fp[inside], (left - cost)[inside], low, runs)
         return
     mask = np.uint64((1 << bits) - 1)
     variants, owners = [], []
@@ -107,10 +107,7 @@ def _meet(at: np.ndarray, fp: np.ndarray, left: np.ndarray, bits: int, links) ->
             owners.append(np.repeat(at[own], sizes[r]))
     variants, owners = np.concatenate(variants), np.concatenate(owners)
     order = np.argsort(variants)
-    variants, owners = variants[order], owners[order]
-    same = np.nonzero(variants[1:] == variants[:-1])[0]
-    if len(same):
-        links(owners[same], owners[same + 1])
+    runs(variants[order], owners[order])
 
 
 _balls: dict[tuple[int, int], np.ndarray] = {}
@@ -154,12 +151,14 @@ def _verified_links(batches: Iterator[pa.RecordBatch], limit: int, lead_bits: in
         fp = t["_fp"].to_numpy()[order].view(np.uint64)
         forest = _Forest(len(rep))
 
-        def links(i: np.ndarray, j: np.ndarray) -> None:
+        def links(variants: np.ndarray, owners: np.ndarray) -> None:
+            same = np.nonzero(variants[1:] == variants[:-1])[0]  # neighbours do: all that share a variant are near each other
+            i, j = owners[same], owners[same + 1]
             near = np.bitwise_count(fp[i] ^ fp[j]) <= limit
             pairs = np.unique(i[near].astype(np.int64) * len(rep) + j[near])
             forest.join(pairs // len(rep), pairs % len(rep))
 
-        _meet(np.arange(len(fp)), fp, t["_left"].to_numpy()[order].astype(np.int64), BITS - lead_bits, links)
+        meet(np.arange(len(fp)), fp, t["_left"].to_numpy()[order].astype(np.int64), BITS - lead_bits, links)
         hung = np.nonzero(forest.root != np.arange(len(rep)))[0]
         if len(hung):
             yield pa.RecordBatch.from_arrays([pa.array(rep[hung]), pa.array(rep[forest.root[hung]])], names=["_a", "_b"])

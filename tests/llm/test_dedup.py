@@ -88,7 +88,12 @@ def test_balls_meet_for_every_near_pair(monkeypatch, at_once):
     base = rng.integers(0, 1 << 40, 12, dtype=np.uint64)
     fp = np.concatenate([base] + [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(20, k, replace=False))) for k in (1, 2, 3, 4, 5, 6)])
     found = set()
-    simhash._meet(np.arange(len(fp)), fp, np.full(len(fp), 2), 44, lambda i, j: found.update(zip(i.tolist(), j.tolist())))
+
+    def runs(variants, rows):
+        same = np.flatnonzero(variants[1:] == variants[:-1])
+        found.update(zip(rows[same].tolist(), rows[same + 1].tolist()))
+
+    simhash.meet(np.arange(len(fp)), fp, np.full(len(fp), 2), 44, runs)
     forest = simhash._Forest(len(fp))
     a, b = map(np.array, zip(*found))
     assert (np.bitwise_count(fp[a] ^ fp[b]) <= 4).all()
@@ -118,6 +123,65 @@ def test_bwt_classes(seed):
     assert [g.tolist() for g in got] == [[i for i in range(len(s) - depth + 1) if first[s[i : i + depth]] < k + i] for s, k in zip(parts, keys)]
 
 
+def _shingle_set(text, words=5):
+    own = (text or "").encode().lower().split()
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def near_groups_by_force(rows, similarity=0.8):
+    """{id: least id of its group} of (id, text), by comparing all pairs; also the number of pairs that are linked."""
+    sets = [(i, s) for i, s in ((i, _shingle_set(t)) for i, t in rows) if s]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = 0
+    for k, (a, p) in enumerate(sets):
+        for b, q in sets[:k]:
+            if min(len(p), len(q)) >= similarity * max(len(p), len(q)) and len(p & q) >= similarity * len(p | q) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+                links += 1
+    return {i: find(i) for i, _ in sets}, links
+
+
+def near_corpus(seed, n):
+    """Texts with edited copies of many degrees, a group of edited copies of one text, and a passage that a third share."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8)))
+    base, passage, rows = [word() for _ in range(120)], [word() for _ in range(30)], []
+    for i in range(n):
+        words = [word() for _ in range(rng.choice([3, 12, 40, 90, 200]))]
+        if i % 4 == 1:
+            words = base[:]
+        elif i % 4 == 2 and i > 8:
+            words = rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.choice([0, 1, 1, 2, 4]) if i % 4 in (1, 2) else 0):
+            words[rng.randrange(len(words))] = word()
+        rows.append((i, " ".join(words + passage * (i % 3 == 0))))
+    return rows
+
+
+@pytest.mark.parametrize("near", [8, 2])
+def test_near_groups(spark, monkeypatch, near):
+    from anomalypool.llm import near_text
+
+    monkeypatch.setattr(near_text, "NEAR", near)
+    rows = [*near_corpus(6, 300), (900, ""), (901, None), (902, "One two three"), (903, "one  TWO three"), (904, "one two"), (905, "A b c d e f g h i j"), (906, "a b c d e f g h i k")]
+    want, links = near_groups_by_force(rows)
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows] + [(None, rows[0][1], "c", 1), (0, rows[0][1], "c", 1)], "doc_id long, text string, _node string, _id int").repartition(5)
+    got = {r["doc_id"]: r["group_id"] for r in near_text.near_groups(df).collect()}
+    assert links > 500 and set(got) == set(want)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)  # a candidate at 0.8 is missed with a probability of 0.01
+    assert all(want[got[i]] == want[i] for i in want)  # nothing is joined that does not hang together
+    left = near_text.one_of_each_near_group(df)
+    assert left.columns == df.columns and sorted(str(r["doc_id"]) for r in left.collect()) == sorted([*(str(i) for i in got if got[i] == i), "0", "900", "901", "None"])
+    assert near_text.near_groups(df.limit(0)).count() == 0
+
+
 def _removed(rows, length=100):
     seen, out = set(), {}
     for i, raw in sorted(rows):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from anomalypool.llm import bpe, simhash
-from tests.llm.test_dedup import _components, _removed, normal
+from anomalypool.llm import bpe
+from tests.llm.test_dedup import _removed, near_groups_by_force, normal
 
 
 def test_registered():
@@ -50,8 +50,8 @@ def test_stages(spark, tmp_path):
     assert sorted(good.doc_id) == [i for i in range(240) if i % 3]
     first = good.assign(t=good.text.map(normal)).groupby("t").doc_id.min()
     assert sorted(exact.doc_id) == sorted(first)
-    fp = [simhash.fingerprint(simhash.shingle_hashes(t.encode())) for t in exact.text]
-    assert sorted(near.doc_id) == sorted(set(_components(fp, exact.doc_id.tolist(), 4).values()))
+    groups, links = near_groups_by_force(list(zip(exact.doc_id, exact.text)))
+    assert links and sorted(near.doc_id) == sorted(set(groups.values()))
     want = _removed(list(zip(near.doc_id, near.text.str.encode("utf-8"))))
     assert dict(zip(cut.doc_id, cut.text)) == {i: k.decode("utf-8", "ignore") for i, (k, _, _) in want.items()}
     assert (cut.n_chars == cut.text.str.len()).all()
