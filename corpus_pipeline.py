@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from anomalypool.llm import bpe, exact_dedup, packing, quality_rules, simhash, suffix_dedup
+from anomalypool.llm import bpe, exact_dedup, near_text, packing, quality_rules, suffix_dedup
 from anomalypool.llm.common import materialise, table
 
 
@@ -19,8 +19,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints the document of least id stays."""
-    return simhash.one_of_each_group(docs)
+    """Of documents that hang together by a Jaccard similarity of 0.8 or more of five-word shingles the one of least id stays."""
+    return near_text.one_of_each_near_group(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
