@@ -6,9 +6,9 @@ balls: at 0.8 that happens in a table with probability 0.47, in one of eight wit
 variants in its ball, factored by leading bits as in simhash.py; those that meet on a variant are compared by one more
 fingerprint, and what is left by their words.
 
-Where more than NEAR + 1 texts meet on a variant, their least member and NEAR neighbours are compared first; then, of
-the texts of such meetings, all pairs that do not hang together by then. So no link between candidates is lost, and
-copies of one text by the thousands are not compared pair by pair.
+Where more than NEAR + 1 texts hang together under a lead, each is compared with their middle first; then, of these
+texts, all pairs that share a variant and do not hang together by then. So no link between candidates is lost, and copies
+of one text by the thousands are not compared pair by pair.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_list, materialise, per_batch, without
-from .simhash import ball, components, meet, shingle_hashes
+from .simhash import Forest, ball, components, meet, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 TABLES, TABLE_BITS, RADIUS = 8, 32, 2
@@ -107,7 +107,7 @@ class _Pairs:
     """Pairs of rows that are near by their checks and in different components, each once."""
 
     def __init__(self, rows: np.ndarray) -> None:
-        self.rows, self.found, self.crowded = rows, [], [np.zeros(0, np.int64)]
+        self.rows, self.found = rows, []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         r = self.rows
@@ -117,19 +117,37 @@ class _Pairs:
             self.found.append(np.unique(np.minimum(i, j) * len(r) + np.maximum(i, j)))
 
     def some(self, variants: np.ndarray, owners: np.ndarray) -> None:
-        """Of the rows that meet on each variant: NEAR neighbours, and all with the least; the members of larger meetings are noted."""
+        """Of the rows that meet on each variant, each with its NEAR neighbours."""
         for d in range(1, NEAR + 1):
             at = np.flatnonzero(variants[d:] == variants[:-d])
             if not len(at):
                 return
             self.add(owners[at], owners[at + d])
-        starts = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
-        sizes = np.diff(np.append(starts, len(variants)))
-        inside = np.repeat(sizes > NEAR + 1, sizes)
-        if inside.any():
-            least = np.repeat(np.minimum.reduceat(owners, starts), sizes)
-            self.add(least[inside], owners[inside])
-            self.crowded.append(np.unique(owners[inside]))
+
+    def of_clusters(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs to compare, and rows of crowded clusters.
+
+        A cluster is what the pairs found hang together. Up to NEAR + 1 rows have all their pairs; more rows are each
+        paired with their middle only, the row that is nearest to what most of their bits are, and noted as crowded.
+        """
+        r, none = self.rows, np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(self.found)) if self.found else none
+        if not len(found):
+            return found, none
+        forest = Forest(len(r))
+        forest.join(found // len(r), found % len(r))
+        sizes = np.bincount(forest.root, minlength=len(r))
+        big = sizes[forest.root] > NEAR + 1
+        crowded = np.flatnonzero(big)
+        pairs = [found[~big[found // len(r)]]]
+        order = crowded[np.argsort(forest.root[crowded], kind="stable")]
+        for own in np.split(order, np.flatnonzero(np.diff(forest.root[order])) + 1) if len(order) else ():
+            bits = np.unpackbits(r["check"][own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
+            most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view("<u8")[0]
+            middle = own[np.argmin(np.bitwise_count(r["check"][own] ^ most))]
+            others = own[own != middle]
+            pairs.append(np.minimum(others, middle) * len(r) + np.maximum(others, middle))
+        return np.unique(np.concatenate(pairs)), crowded
 
     def every(self, variants: np.ndarray, owners: np.ndarray) -> None:
         """Of the rows that meet on each variant, all pairs of different components: each row outside the largest one with all rows."""
@@ -150,8 +168,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], bits: int, first: bool) -> It
         rows = rows[np.argsort(rows["node"], kind="stable")]
         pairs = _Pairs(rows)
         meet(np.arange(len(rows)), rows["fp"].astype(np.uint64), rows["left"].astype(np.int64), TABLE_BITS - bits, pairs.some if first else pairs.every)
-        found = np.unique(np.concatenate(pairs.found)) if pairs.found else np.zeros(0, np.int64)
-        crowded = np.unique(np.concatenate(pairs.crowded))
+        found, crowded = pairs.of_clusters() if first else (np.unique(np.concatenate([*pairs.found, np.zeros(0, np.int64)])), np.zeros(0, np.int64))
         a = np.concatenate([rows["node"][found // max(len(rows), 1)], rows["node"][crowded]])
         b = pa.concat_arrays([pa.array(rows["node"][found % max(len(rows), 1)]), pa.nulls(len(crowded), pa.int64())])
         for at in range(0, len(a), 100_000):
@@ -180,7 +197,7 @@ def _shingles(packed: bytes) -> set[bytes]:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (_a, _b) whose texts (_node, _words) have SIMILARITY or more."""
+    """Links (_a, _b) that hang together what the pairs (_a, _b) do whose texts (_node, _words) have SIMILARITY or more."""
     def own(side: str) -> DataFrame:
         return texts.select(F.col("_node").alias(f"_n{side}"), F.col("_words").alias(f"_w{side}"))
 
@@ -188,15 +205,22 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         known: dict[int, set[bytes]] = {}
-        keep = []
+        links = []
         for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
             if len(known) > 500:
                 known.clear()
             p = known[a] if a in known else known.setdefault(a, _shingles(x))
             q = known[b] if b in known else known.setdefault(b, _shingles(y))
             common = len(p & q)
-            keep.append(common >= SIMILARITY * (len(p) + len(q) - common) - 1e-9)
-        yield batch.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
+            if common >= SIMILARITY * (len(p) + len(q) - common) - 1e-9:
+                links.append((a, b))
+        if links:  # as a forest: one link for each node but one of what hangs together in this batch
+            nodes, at = np.unique(np.array(links), return_inverse=True)
+            at = at.reshape(-1, 2)
+            forest = Forest(len(nodes))
+            forest.join(at[:, 0], at[:, 1])
+            hung = np.flatnonzero(forest.root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[forest.root[hung]])], names=["_a", "_b"])
 
     return both.mapInArrow(per_batch(lambda: step), "_a bigint, _b bigint")
 

@@ -62,7 +62,7 @@ def ball(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(bits), k)], dtype=np.uint64)
 
 
-class _Forest:
+class Forest:
     """Least label of each of n nodes under links given as arrays; labels only fall."""
 
     def __init__(self, n: int) -> None:
@@ -149,7 +149,7 @@ def _verified_links(batches: Iterator[pa.RecordBatch], limit: int, lead_bits: in
         order = np.argsort(t["_rep"].to_numpy(), kind="stable")  # so that the least index is the least class
         rep = t["_rep"].to_numpy()[order]
         fp = t["_fp"].to_numpy()[order].view(np.uint64)
-        forest = _Forest(len(rep))
+        forest = Forest(len(rep))
 
         def links(variants: np.ndarray, owners: np.ndarray) -> None:
             same = np.nonzero(variants[1:] == variants[:-1])[0]  # neighbours do: all that share a variant are near each other
