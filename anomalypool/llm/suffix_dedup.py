@@ -257,20 +257,16 @@ def _late_strings(segments: list[bytes], doc: np.ndarray, lo: np.ndarray) -> lis
     return earlier_elsewhere(segments, (rank.astype(np.int64) << 32) + lo, LENGTH)
 
 
-def _late_in_parts(segments: list[bytes], doc: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
-    """The same for an anchor with more surroundings than a block holds: its strings are dealt to parts by hash, so that equal ones meet, and each part is a block."""
-    raw = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    sizes = np.array([len(s) for s in segments])
-    strings = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(segments)), strings)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-    start = np.repeat(np.cumsum(sizes) - sizes, strings) + offset
-    part = Rolling(raw, 1).of(start, LENGTH) % np.uint64(len(owner) * (LENGTH + 1) // BLOCK + 1)
-    late = np.zeros(len(owner), dtype=bool)
-    for own in np.split(order := np.argsort(part, kind="stable"), np.flatnonzero(np.diff(part[order])) + 1):
-        found = _late_strings([raw[a : a + LENGTH].tobytes() for a in start[own]], doc[owner[own]], lo[owner[own]] + offset[own])
-        late[own] = [len(f) > 0 for f in found]
-    return [offset[a:b][late[a:b]] for a, b in zip(np.cumsum(strings) - strings, np.cumsum(strings))]
+def _late_by_bytes(segments: list[bytes], doc: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+    """The same for an anchor with more surroundings than a block holds: equal strings by their bytes, in order of place."""
+    seen: dict[bytes, tuple[int, int]] = {}
+    late: list[list[int]] = [[] for _ in segments]
+    for i in np.lexsort((lo, doc)):
+        raw, d, a = segments[i], int(doc[i]), int(lo[i])
+        for o in range(len(raw) - LENGTH + 1):
+            if seen.setdefault(raw[o : o + LENGTH], (d, a + o)) < (d, a + o):
+                late[i].append(o)
+    return [np.array(x, dtype=np.int64) for x in late]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +288,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(begin, cuts[i])
             big = sum(map(len, segments[part])) > BLOCK
             doc, lo = head[part, 0], head[part, 1]
-            late = (_late_in_parts if big else _late_strings)(segments[part], doc, lo)
+            late = (_late_by_bytes if big else _late_strings)(segments[part], doc, lo)
             n = np.array([len(x) for x in late])
             yield from _found(*_spans(np.repeat(doc, n), np.repeat(lo, n) + np.concatenate(late), np.full(int(n.sum()), LENGTH)), False)
             begin = cuts[i]

@@ -94,7 +94,7 @@ def test_balls_meet_for_every_near_pair(monkeypatch, at_once):
         found.update(zip(rows[same].tolist(), rows[same + 1].tolist()))
 
     simhash.meet(np.arange(len(fp)), fp, np.full(len(fp), 2), 44, runs)
-    forest = simhash._Forest(len(fp))
+    forest = simhash.Forest(len(fp))
     a, b = map(np.array, zip(*found))
     assert (np.bitwise_count(fp[a] ^ fp[b]) <= 4).all()
     forest.join(a, b)
@@ -219,7 +219,7 @@ def test_anchors_spread_over_buckets():
     assert sizes.sum() > 10_000 and sizes.max() < 1.3 * sizes.mean()
 
 
-def test_an_anchor_with_very_many_surroundings(monkeypatch):
+def test_an_anchor_with_very_many_surroundings():
     rng = random.Random(4)
     gram = "".join(rng.choice("abcd") for _ in range(48))
     side = lambda: "".join(rng.choice("xy") for _ in range(52))
@@ -227,8 +227,7 @@ def test_an_anchor_with_very_many_surroundings(monkeypatch):
     segments += [s[: rng.randint(100, 152)] for s in segments[:30]]
     doc, lo = np.array([rng.randint(0, 40) for _ in segments]), np.arange(len(segments)) * 500
     want = suffix_dedup._late_strings(segments, doc, lo)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
-    got = suffix_dedup._late_in_parts(segments, doc, lo)
+    got = suffix_dedup._late_by_bytes(segments, doc, lo)
     assert [g.tolist() for g in got] == [w.tolist() for w in want] and sum(map(len, want)) > 300
 
 
