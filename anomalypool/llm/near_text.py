@@ -6,9 +6,10 @@ balls: at 0.8 that happens in a table with probability 0.47, in one of eight wit
 variants in its ball, factored by leading bits as in simhash.py; those that meet on a variant are compared by one more
 fingerprint, and what is left by their words.
 
-Where more than NEAR + 1 texts hang together under a lead, each is compared with their middle first; then, of these
-texts, all pairs that share a variant and do not hang together by then. So no link between candidates is lost, and copies
-of one text by the thousands are not compared pair by pair.
+Where more than NEAR + 1 texts hang together under a lead, each is compared with their middle first. Crowded texts that
+hang together by a similarity of KIN are kin. Among kin, every text that is not in their largest group by then is compared
+with all of them in blocks, through an index of shingles in memory, and only links leave a block. Crowded texts that share
+a variant and are no kin are compared pair by pair. So no link between candidates is lost, and crowds emit no pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import byte_list, materialise, per_batch, without
 from .simhash import Forest, ball, components, meet, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
+KIN = 0.4  # chance meetings are far below, so that kin don't grow together over the whole corpus
+BLOCK_BYTES = 4 << 20  # of packed words, about, that one task indexes at once
 TABLES, TABLE_BITS, RADIUS = 8, 32, 2
 CHECK = 20  # of 64 bits, at which a pair is no more compared; at similarity 0.8 the mean is 9.7, the deviation 2.9
 LEAST_LEAD, MOST_LEAD = 8, 24
@@ -196,8 +199,19 @@ def _shingles(packed: bytes) -> set[bytes]:
     return {b" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
 
 
+def _hung(pairs: list[tuple[int, int]], linked: bool) -> Iterable[pa.RecordBatch]:
+    """A forest of what pairs hang together: one link for each node but one of a tree."""
+    if pairs:
+        nodes, at = np.unique(np.array(pairs), return_inverse=True)
+        at = at.reshape(-1, 2)
+        forest = Forest(len(nodes))
+        forest.join(at[:, 0], at[:, 1])
+        own = np.flatnonzero(forest.root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[forest.root[own]]), pa.array([linked] * len(own))], names=["_a", "_b", "_linked"])
+
+
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (_a, _b) that hang together what the pairs (_a, _b) do whose texts (_node, _words) have SIMILARITY or more."""
+    """_a, _b, _linked: forests of what the pairs (_a, _b) hang together whose texts (_node, _words) have SIMILARITY or more (_linked), or KIN."""
     def own(side: str) -> DataFrame:
         return texts.select(F.col("_node").alias(f"_n{side}"), F.col("_words").alias(f"_w{side}"))
 
@@ -205,24 +219,95 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
         known: dict[int, set[bytes]] = {}
-        links = []
+        links, kin = [], []
         for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
             if len(known) > 500:
                 known.clear()
             p = known[a] if a in known else known.setdefault(a, _shingles(x))
             q = known[b] if b in known else known.setdefault(b, _shingles(y))
             common = len(p & q)
+            if common >= KIN * (len(p) + len(q) - common):
+                kin.append((a, b))
             if common >= SIMILARITY * (len(p) + len(q) - common) - 1e-9:
                 links.append((a, b))
-        if links:  # as a forest: one link for each node but one of what hangs together in this batch
-            nodes, at = np.unique(np.array(links), return_inverse=True)
-            at = at.reshape(-1, 2)
-            forest = Forest(len(nodes))
-            forest.join(at[:, 0], at[:, 1])
-            hung = np.flatnonzero(forest.root != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[forest.root[hung]])], names=["_a", "_b"])
+        yield from _hung(links, True)
+        yield from _hung(kin, False)
+
+    return both.mapInArrow(per_batch(lambda: step), "_a bigint, _b bigint, _linked boolean")
+
+
+class _Index:
+    """Which of some texts have a shingle: their nodes, groups and hashes, as _compare() reads them."""
+
+    def __init__(self, nodes: list[int], groups: list[int], hashes: list[np.ndarray]) -> None:
+        self.nodes, self.groups = np.array(nodes, np.int64), np.array(groups, np.int64)
+        self.sizes = np.array([len(h) for h in hashes], np.int64)
+        found = np.concatenate(hashes)
+        order = np.argsort(found, kind="stable")
+        self.keys, self.owners = found[order], np.repeat(np.arange(len(nodes)), self.sizes)[order]
 
-    return both.mapInArrow(per_batch(lambda: step), "_a bigint, _b bigint")
+    def similar(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the texts of SIMILARITY or more."""
+        low, high = np.searchsorted(self.keys, hashes, "left"), np.searchsorted(self.keys, hashes, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(self.owners[at], minlength=len(self.nodes))
+        return np.flatnonzero(common >= SIMILARITY * (len(hashes) + self.sizes - common) - 1e-9)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of block, those to index before those to look up: links (_a, _b) that hang groups together, one for each two groups that did not by then."""
+    key, index, waiting, above = None, None, [], {}
+
+    def top(group: int) -> int:
+        while group in above:
+            group = above[group]
+        return group
+
+    for batch in batches:
+        links = []
+        for *block, probe, node, group, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if block != key:
+                key, index, waiting, above = block, None, [], {}
+            hashes = np.unique(np.array(shingle_hashes(zlib.decompress(words), WORDS), dtype=np.uint64))
+            if not probe:
+                waiting.append((node, group, hashes))
+                continue
+            if waiting:
+                index, waiting = _Index(*map(list, zip(*waiting))), []
+            if index is None:  # no text fell into this block
+                continue
+            near = index.similar(hashes)
+            groups, first = np.unique(index.groups[near], return_index=True)
+            for other, at in zip(groups.tolist(), near[first].tolist()):
+                x, y = top(group), top(other)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    links.append((node, int(index.nodes[at])))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], names=["_a", "_b"])
+
+
+def _among_kin(crowd: DataFrame, rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Links (_a, _b) that hang together the groups (_comp) of texts of one _kin: all texts outside the largest group against all.
+
+    Blocks hold about block_bytes of packed words; each text to look up goes to every block of its kin, each block to as
+    many tasks as these texts need.
+    """
+    groups = crowd.groupBy("_kin", "_comp").agg(F.count("*").alias("_n")).groupBy("_kin").agg(F.count("*").alias("_groups"), F.max(F.struct("_n", "_comp"))["_comp"].alias("_main"))
+    several = crowd.join(groups.filter("_groups > 1"), "_kin").select("_kin", "_node", "_least", "_comp", (F.col("_comp") != F.col("_main")).alias("_probe"))
+    texts = _texts_of(rows, several.select("_node", "_least"))
+    own = materialise(several.join(texts, "_node").select("_kin", "_node", "_comp", "_probe", "_words"), "near-kin-texts")
+    blocks = lambda of: F.ceil(F.sum(of) / F.lit(block_bytes)).cast("int")
+    plan = own.groupBy("_kin").agg(blocks(F.length("_words")).alias("_ts"), blocks(F.when(F.col("_probe"), F.length("_words"))).alias("_ps"))
+    dealt = own.join(plan, "_kin")
+    mine = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ("_node", "_comp", "_words")
+    indexed = dealt.select("_kin", mine("_ts").alias("_t"), every("_ps").alias("_p"), F.lit(False).alias("_probe"), *rest)
+    looked_up = dealt.filter("_probe").select("_kin", every("_ts").alias("_t"), mine("_ps").alias("_p"), F.lit(True).alias("_probe"), *rest)
+    block = ("_kin", "_t", "_p")
+    return indexed.unionByName(looked_up).repartition(*block).sortWithinPartitions(*block, "_probe").mapInArrow(_compare, "_a bigint, _b bigint")
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -239,7 +324,7 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.mapInArrow(per_batch(lambda: step), "_node bigint, _words binary").groupBy("_node").agg(F.first("_words").alias("_words"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """id, group_id: one row per different id of a row with words and an id; group_id is the least id that can be reached.
 
     Texts are linked at a Jaccard similarity of SIMILARITY of their sets of WORDS-word shingles (a shorter text is one
@@ -255,14 +340,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = met.filter(F.col("_b").isNotNull())
     ends = lambda p: p.select(F.col("_a").alias("_node")).unionByName(p.select(F.col("_b").alias("_node"))).distinct()
     texts = lambda p: _texts_of(rows, nodes.select("_node", "_least").join(ends(p), "_node"))
-    links = materialise(_similar(pairs, materialise(texts(pairs), "near-texts")), "near-links")
+    judged = materialise(_similar(pairs, materialise(texts(pairs), "near-texts")), "near-links")
+    links = judged.filter("_linked").select("_a", "_b")
     roots = components(links, "near-components")
     crowded = met.filter(F.col("_b").isNull()).select(F.col("_a").alias("_node")).distinct()
     if not crowded.isEmpty():
-        rest = nodes.join(crowded, "_node").join(roots, "_node", "left").withColumn("_comp", F.coalesce("_root", "_node"))
-        more = _meetings(rest, bits, False).join(pairs, ["_a", "_b"], "left_anti")
-        more = materialise(more, "near-more")
-        links = links.unionByName(materialise(_similar(more, materialise(texts(more), "near-texts")), "near-links"))
+        kin = components(judged.select("_a", "_b"), "near-kin").select("_node", F.col("_root").alias("_kin"))
+        crowd = nodes.join(crowded, "_node").join(roots, "_node", "left").join(kin, "_node", "left")
+        crowd = materialise(crowd.select("_node", "_least", "_sig", F.coalesce("_root", "_node").alias("_comp"), F.coalesce("_kin", "_node").alias("_kin")), "near-crowd")
+        strangers = _meetings(crowd.select("_node", "_sig", F.col("_kin").alias("_comp")), bits, False)
+        strangers = materialise(strangers.join(pairs, ["_a", "_b"], "left_anti"), "near-more")
+        met_strangers = materialise(_similar(strangers, materialise(texts(strangers), "near-texts")), "near-links").filter("_linked").select("_a", "_b")
+        links = links.unionByName(met_strangers).unionByName(materialise(_among_kin(crowd, rows, block_bytes), "near-links"))
         roots = components(links, "near-components")
     rooted = nodes.select("_node", "_least").join(roots, "_node", "left").withColumn("_comp", F.coalesce("_root", "_node"))
     least = rooted.groupBy("_comp").agg(F.min("_least").alias("_group"))

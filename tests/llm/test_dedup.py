@@ -182,6 +182,26 @@ def test_near_groups(spark, monkeypatch, near):
     assert near_text.near_groups(df.limit(0)).count() == 0
 
 
+def test_blocks_of_kin_lose_no_link(spark):
+    """Crowds in one block or in many: the groups of brute force among all texts of a kin."""
+    from anomalypool.llm import near_text
+
+    rows = near_corpus(8, 300)
+    want, links = near_groups_by_force(rows)
+    df = spark.createDataFrame(rows, "_id long, _text string")
+    nodes = near_text._prints(df).groupBy("_node").agg(F.min("_id").alias("_least"))
+    crowd = nodes.select("_node", "_least", F.col("_node").alias("_comp"), F.lit(7).cast("long").alias("_kin"))
+    least = {r["_node"]: r["_least"] for r in nodes.collect()}
+    for block_bytes in (1500, 1 << 22):
+        found = [(least[r["_a"]], least[r["_b"]]) for r in near_text._among_kin(crowd, df, block_bytes).collect()]
+        group = {i: i for i in least.values()}
+        for a, b in found:
+            x, y = group[a], group[b]
+            group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+        assert links > 500 and group == {i: want[i] for i in group}
+        assert block_bytes == 1500 or len(found) < len(group)  # a forest
+
+
 def _removed(rows, length=100):
     seen, out = set(), {}
     for i, raw in sorted(rows):
