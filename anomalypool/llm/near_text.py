@@ -32,7 +32,7 @@ KIN = 0.4  # chance meetings are far below, so that kin don't grow together over
 BLOCK_BYTES = 4 << 20  # of packed words, about, that one task indexes at once
 TABLES, TABLE_BITS, RADIUS = 8, 32, 2
 CHECK = 20  # of 64 bits, at which a pair is no more compared; at similarity 0.8 the mean is 9.7, the deviation 2.9
-LEAST_LEAD, MOST_LEAD = 8, 24
+LEAST_LEAD, MOST_LEAD = 4, 24
 GROUP = 1 << 20  # fingerprints under one lead, about, at which leads become longer
 NEAR = 8
 _ODD = np.random.default_rng(3).integers(0, 1 << 62, 1 + TABLES * TABLE_BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,10 +128,10 @@ class _Pairs:
             self.add(owners[at], owners[at + d])
 
     def of_clusters(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs to compare, and rows of crowded clusters.
+        """Pairs to compare, those of small clusters and those of crowded ones.
 
         A cluster is what the pairs found hang together. Up to NEAR + 1 rows have all their pairs; more rows are each
-        paired with their middle only, the row that is nearest to what most of their bits are, and noted as crowded.
+        paired with their middle only, the row that is nearest to what most of their bits are.
         """
         r, none = self.rows, np.zeros(0, np.int64)
         found = np.unique(np.concatenate(self.found)) if self.found else none
@@ -142,15 +142,15 @@ class _Pairs:
         sizes = np.bincount(forest.root, minlength=len(r))
         big = sizes[forest.root] > NEAR + 1
         crowded = np.flatnonzero(big)
-        pairs = [found[~big[found // len(r)]]]
+        stars = [none]
         order = crowded[np.argsort(forest.root[crowded], kind="stable")]
         for own in np.split(order, np.flatnonzero(np.diff(forest.root[order])) + 1) if len(order) else ():
             bits = np.unpackbits(r["check"][own].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
             most = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(own)).view("<u8")[0]
             middle = own[np.argmin(np.bitwise_count(r["check"][own] ^ most))]
             others = own[own != middle]
-            pairs.append(np.minimum(others, middle) * len(r) + np.maximum(others, middle))
-        return np.unique(np.concatenate(pairs)), crowded
+            stars.append(np.minimum(others, middle) * len(r) + np.maximum(others, middle))
+        return found[~big[found // len(r)]], np.unique(np.concatenate(stars))
 
     def every(self, variants: np.ndarray, owners: np.ndarray) -> None:
         """Of the rows that meet on each variant, all pairs of different components: each row outside the largest one with all rows."""
@@ -165,17 +165,18 @@ class _Pairs:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], bits: int, first: bool) -> Iterator[pa.RecordBatch]:
-    """Of packed rows in order of lead: pairs of nodes (_a, _b) to compare, and with _b null those of crowded meetings."""
+    """Of packed rows in order of lead: pairs of nodes (_a, _b) to compare, and whether a crowd is why (_crowd)."""
     def close(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = _unpacked(blobs)
         rows = rows[np.argsort(rows["node"], kind="stable")]
         pairs = _Pairs(rows)
         meet(np.arange(len(rows)), rows["fp"].astype(np.uint64), rows["left"].astype(np.int64), TABLE_BITS - bits, pairs.some if first else pairs.every)
-        found, crowded = pairs.of_clusters() if first else (np.unique(np.concatenate([*pairs.found, np.zeros(0, np.int64)])), np.zeros(0, np.int64))
-        a = np.concatenate([rows["node"][found // max(len(rows), 1)], rows["node"][crowded]])
-        b = pa.concat_arrays([pa.array(rows["node"][found % max(len(rows), 1)]), pa.nulls(len(crowded), pa.int64())])
+        few, stars = pairs.of_clusters() if first else (np.unique(np.concatenate([*pairs.found, np.zeros(0, np.int64)])), np.zeros(0, np.int64))
+        found, crowd = np.concatenate([few, stars]), np.repeat([False, True], [len(few), len(stars)])
+        a, b = rows["node"][found // max(len(rows), 1)], rows["node"][found % max(len(rows), 1)]
         for at in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), b.slice(at, 100_000)], names=["_a", "_b"])
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(a[cut]), pa.array(b[cut]), pa.array(crowd[cut])], names=["_a", "_b", "_crowd"])
 
     key, waiting = None, []
     for batch in batches:
@@ -191,7 +192,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], bits: int, first: bool) -> It
 
 def _meetings(nodes: DataFrame, bits: int, first: bool) -> DataFrame:
     dealt = _lead_rows(nodes, bits).repartition("_lead").sortWithinPartitions("_lead")
-    return materialise(dealt.mapInArrow(partial(_candidates, bits=bits, first=first), "_a bigint, _b bigint").distinct(), "near-candidates")
+    return materialise(dealt.mapInArrow(partial(_candidates, bits=bits, first=first), "_a bigint, _b bigint, _crowd boolean").groupBy("_a", "_b").agg(F.max("_crowd").alias("_crowd")), "near-candidates")
 
 
 def _shingles(packed: bytes) -> set[bytes]:
@@ -337,19 +338,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialise(prints.groupBy("_node").agg(F.min("_id").alias("_least"), F.first("_sig").alias("_sig")), "near-nodes")
     bits = lead_bits(nodes.count())
     met = _meetings(nodes.withColumn("_comp", F.col("_node")), bits, True)
-    pairs = met.filter(F.col("_b").isNotNull())
+    pairs = met.select("_a", "_b")
     ends = lambda p: p.select(F.col("_a").alias("_node")).unionByName(p.select(F.col("_b").alias("_node"))).distinct()
     texts = lambda p: _texts_of(rows, nodes.select("_node", "_least").join(ends(p), "_node"))
     judged = materialise(_similar(pairs, materialise(texts(pairs), "near-texts")), "near-links")
     links = judged.filter("_linked").select("_a", "_b")
     roots = components(links, "near-components")
-    crowded = met.filter(F.col("_b").isNull()).select(F.col("_a").alias("_node")).distinct()
+    crowded = ends(met.filter("_crowd"))
     if not crowded.isEmpty():
         kin = components(judged.select("_a", "_b"), "near-kin").select("_node", F.col("_root").alias("_kin"))
         crowd = nodes.join(crowded, "_node").join(roots, "_node", "left").join(kin, "_node", "left")
         crowd = materialise(crowd.select("_node", "_least", "_sig", F.coalesce("_root", "_node").alias("_comp"), F.coalesce("_kin", "_node").alias("_kin")), "near-crowd")
         strangers = _meetings(crowd.select("_node", "_sig", F.col("_kin").alias("_comp")), bits, False)
-        strangers = materialise(strangers.join(pairs, ["_a", "_b"], "left_anti"), "near-more")
+        strangers = materialise(strangers.select("_a", "_b").join(pairs, ["_a", "_b"], "left_anti"), "near-more")
         met_strangers = materialise(_similar(strangers, materialise(texts(strangers), "near-texts")), "near-links").filter("_linked").select("_a", "_b")
         links = links.unionByName(met_strangers).unionByName(materialise(_among_kin(crowd, rows, block_bytes), "near-links"))
         roots = components(links, "near-components")
