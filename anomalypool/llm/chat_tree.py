@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 PACK_CHARS = 1 << 20
+PACK_LEAVES = 1 << 14
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 
 
@@ -107,7 +108,7 @@ class _Pack:
         return {"pack": name, "stream": stream, "nodes": self.nodes, "leaves": self.leaves}
 
 
-def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_chars: int = PACK_CHARS) -> DataFrame:
+def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_chars: int = PACK_CHARS, pack_leaves: int = PACK_LEAVES) -> DataFrame:
     """Packs of formatted conversations, from one row per turn: pack, stream, nodes, leaves.
 
     nodes are the turns of the stream in its order: start and length in the stream (code points), position of their
@@ -116,8 +117,9 @@ def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     leaves says at which node each conversation ends; those with the same turns end at the same.
 
     A pack ends when the first turn changes after pack_chars, or where a partition of the sorted conversations ends,
-    or at 4 * pack_chars whatever the turns: then the next pack begins with the shared turns again. So a first turn
-    that very many conversations share is spread over many tasks. Null roles and texts count as empty; turns are in
+    or at 4 * pack_chars or pack_leaves conversations whatever the turns: then the next pack begins with the shared
+    turns again. So a first turn that very many conversations share is spread over many tasks, and a row stays bounded
+    where very many conversations are equal. Null roles and texts count as empty; turns are in
     order of turn_col, null first, then of role and text; all rows of a conversation make one, the repeated ones too. Null ids make
     one conversation with a null id. No rows give no packs.
     """
@@ -135,7 +137,7 @@ def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
             for conv_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spoken = [(t["r"], t["x"]) for t in own]
                 apart = not pack.path or not spoken or pack.path[0][0] != spoken[0]
-                if pack.leaves and (pack.size >= pack_chars and apart or pack.size >= 4 * pack_chars):
+                if pack.leaves and (pack.size >= pack_chars and apart or pack.size >= 4 * pack_chars or len(pack.leaves) >= pack_leaves):
                     yield _batch(pack)
                     pack = _Pack()
                 pack.add(conv_id, spoken)

@@ -148,6 +148,14 @@ def test_escape_is_reversible_and_leaves_no_control_string(text):
     assert chat_tree.read_turns(chat_tree.format_turn(text, text) * 2) == [(text, text)] * 2
 
 
+def test_packs_of_equal_conversations_stay_bounded(spark):
+    turns = spark.range(20_000).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "'hi' AS text")
+    packs = chat_tree.chat_packs(turns, pack_leaves=3000)
+    assert max(len(r["leaves"]) for r in packs.select("leaves").collect()) == 3000
+    got = chat_tree.conversation_digests(packs).collect()
+    assert sorted(r["conv_id"] for r in got) == list(range(20_000)) and {(r["n_turns"], r["formatted_chars"]) for r in got} == {(1, len(chat_tree.format_turn("user", "hi")))}
+
+
 def test_chat_packs(spark):
     rng = random.Random(1)
     turns, want = [], {}
