@@ -73,10 +73,23 @@ def baseline_wander(points: DataFrame, horizon: int, key: str = "recording") ->
     return moves.groupBy(key).agg(F.when(F.count("*") < 8, 0.0).otherwise(F.coalesce(exact_percentile("abs(diff)", 0.995), F.lit(0.0))).alias("wander"))
 
 
-def rolling(points: DataFrame, half: int, what: str, name: str, key: str = "recording") -> DataFrame:
-    """avg or median of the half points on both sides, cut off at the ends."""
-    frame = W.partitionBy(key).orderBy("pos").rowsBetween(-half, half)
-    return points.withColumn(name, (F.avg("value") if what == "avg" else exact_percentile("value", 0.5)).over(frame))
+def _extended(points: DataFrame, half: int, key: str, block: int) -> DataFrame:
+    """Points with _at, the ends repeated half times beyond them, dealt to blocks of positions that overlap by half on both sides."""
+    last = points.groupBy(key).agg(F.max("pos").alias("_last"))
+    low = F.when(F.col("pos") == 0, F.col("pos") - half).otherwise(F.col("pos"))
+    high = F.when(F.col("pos") == F.col("_last"), F.col("pos") + half).otherwise(F.col("pos"))
+    held = points.join(last, key).withColumn("_at", F.explode(F.sequence(low, high))).drop("_last")
+    return held.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_at") - half) / block), F.floor((F.col("_at") + half) / block))))
+
+
+def rolling(points: DataFrame, half: int, what: str, name: str, key: str = "recording", block: int = 4096) -> DataFrame:
+    """avg or median of the half points on both sides; beyond an end its value stands again. Positions run from 0 without gaps.
+
+    A task sees a block of a recording, not all of it.
+    """
+    frame = W.partitionBy(key, "_block").orderBy("_at").rowsBetween(-half, half)
+    seen = _extended(points, half, key, block).withColumn(name, (F.avg("value") if what == "avg" else exact_percentile("value", 0.5)).over(frame))
+    return seen.filter((F.col("_at") == F.col("pos")) & (F.col("_block") == F.floor(F.col("_at") / block))).drop("_at", "_block")
 
 
 def rolling_rms(points: DataFrame, width: int, key: str = "recording") -> DataFrame:
