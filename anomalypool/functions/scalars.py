@@ -66,6 +66,37 @@ def percent(x: Column, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f%%", x * 100)
 
 
+def thousands(x: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(x, 0)
+
+
+def numbered(i: Column, width: int = 5) -> Column:
+    return F.format_string(f"%0{width}d", i)
+
+
+def is_whole(notes: Column) -> Column:
+    """Whether the notes of a sample say that it is a whole series."""
+    return F.coalesce(notes, F.lit("")).contains("whole_series")
+
+
+def round_binary(x: Column, digits: int) -> Column:
+    """Rounded by the exact binary value, ties to the even digit. Scaled values must stay below 2^52; larger ones stay as they are.
+
+    The product with 10^digits is split into its double and the rest that this drops, by halves of both factors.
+    """
+    scale = 10.0**digits
+    halves = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)  # noqa: E731  2^27 + 1 halves the 53 bits
+    xh, sh = halves(x), 134217729.0 * scale - (134217729.0 * scale - scale)
+    xl, sl = x - xh, scale - sh
+    p = x * scale
+    dropped = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    low = F.floor(p).cast("double")
+    over = (p - low - 0.5) + dropped
+    up = (over > 0) | ((over == 0) & (low % 2 != 0))
+    return F.when(F.abs(p) < 2.0**52, (low + up.cast("double")) / scale).otherwise(x)
+
+
 def taper(i: Column, duration: Column, ramp: Column) -> Column:
     """The trapezoid at index i of a window that is zero at both ends."""
     slope = clip(ramp, 1, F.greatest(F.lit(1), F.floor(duration / 2)))

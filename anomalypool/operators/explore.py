@@ -33,6 +33,16 @@ def points_of(points: DataFrame, ids: DataFrame, start: int | None = None, end:
     return points.join(ids.select("series_id"), "series_id", "left_semi")
 
 
+def described(points: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Points with their series' metadata; those of a series without any keep nulls."""
+    return points.join(metadata.drop(*[c for c in metadata.columns if c != "series_id" and c in points.columns]), "series_id", "left")
+
+
+def head(metadata: DataFrame, n: int, order: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """The first n rows in a stated order, as files have none."""
+    return metadata.orderBy(*order).limit(n)
+
+
 def tags(metadata: DataFrame, columns: tuple[str, ...] = ("base_type", "anomaly_type", "source_notes", "split")) -> DataFrame:
     """series_id and a JSON object of those of the columns that are there and not null."""
     here = [c for c in columns if c in metadata.columns]

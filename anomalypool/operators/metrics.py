@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import dataset_of
 from .profile import exact_percentile
 
 
@@ -41,6 +42,24 @@ def pool_summary(metadata: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def split_summary(metadata: DataFrame, by: list[str]) -> DataFrame:
+    """Series and positive rate of each split, and the share of those whose period is known."""
+    known = F.avg(F.col("period_detected").isNotNull().cast("double")).alias("period_share")
+    return metadata.groupBy(*by, "split").agg(F.count("*").alias("n_series"), F.avg("y_i").alias("positive_rate"), known)
+
+
+def dirty_summary(metadata: DataFrame, by: list[str], strength: str = "detect_z", fraction: str = "anomaly_fraction") -> DataFrame:
+    """Least and median strength and mean fraction among anomalous series only; groups without any have nulls."""
+    dirty = lambda c: F.when(F.col("y_i") == 1, F.col(c))
+    held = metadata.withColumns({"_z": dirty(strength), "_f": dirty(fraction)})
+    return held.groupBy(*by).agg(F.sum("y_i").alias("n_dirty"), F.min("_z").alias("least"), exact_percentile("_z", 0.5).alias("median"), F.avg("_f").alias("fraction"))
+
+
+def datasets(metadata: DataFrame) -> DataFrame:
+    """The distinct datasets, in order."""
+    return metadata.select(dataset_of(F.col("series_id")).alias("dataset")).distinct().orderBy("dataset")
+
+
 def density_percentiles(metadata: DataFrame, by: str) -> DataFrame:
     """How dense the anomalies of anomalous samples are."""
     q = metadata.filter("y_i = 1").groupBy(by).agg(exact_percentile("anomaly_ratio", 0.1, 0.5, 0.9).alias("_q"), F.max("anomaly_ratio").alias("max_density"), F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import SamplerConfig
 from ..kernels.signal import Geometry, detect_period
 from ..operators import metrics, scan
-from ..sources.pools import write_rows
+from ..sources.pools import write_document, write_rows, write_text
 from ..sources.scratch import written
 
 PRESETS = {"spikes": 1, "segments": 25}
@@ -47,26 +49,42 @@ def deep_detect(points: DataFrame, preset: str = "segments", top: int = 3) -> Da
 def triage(points: DataFrame, budget: int = 50, preset: str = "segments") -> dict[str, DataFrame]:
     """cheap_scan, deep_detect, ranked_list and decision_trace of a pool, for a budget of deep looks per thousand series.
 
-    A series that had a deep look ranks by the mean of both scores' ranks; the others by their cheap one. Each
-    decision names the fields it rests on.
+    The final score is the sum of log(1 + score) of both looks; a series without a deep look has its cheap one alone.
+    Each decision names the fields it rests on. tool_calls has the calls of each tool and the milliseconds it took.
     """
+    began = time.perf_counter()
     cheap = written(scan.cheap_scan(points), "cheap-scan")
+    scanned = time.perf_counter()
     chosen = written(scan.budget_topk(cheap, budget), "chosen")
     deep = written(deep_detect(points.join(chosen.select("series_id"), "series_id", "left_semi"), preset), "deep")
+    looked = time.perf_counter()
+    calls = [("cheap_scan", cheap.count(), 1000 * (scanned - began)), ("deep_detect", deep.count(), 1000 * (looked - scanned))]
     both = cheap.join(deep.select("series_id", "deep_score"), "series_id", "left")
     final = both.withColumn("final_score", F.log1p("cheap_score") + F.coalesce(F.log1p("deep_score"), F.lit(0.0)))
     ranked = scan.ranked_list(final.select("series_id", "final_score"))
     why = F.format_string("cheap_scan.cheap_score=%.4f is among the best for the budget; deep_detect.deep_score=%.4f over %d windows", "cheap_score", "deep_score", F.size("evidence"))
     trace = deep.join(chosen.select("series_id", "cheap_score"), "series_id").select("series_id", "cheap_score", "deep_score", "evidence", why.alias("reason"))
-    return {"cheap_scan": cheap.drop("y_i"), "deep_detect": deep, "ranked_list": ranked, "decision_trace": trace, "_truth": cheap.select("series_id", "y_i")}
+    return {"cheap_scan": cheap.drop("y_i"), "deep_detect": deep, "ranked_list": ranked, "decision_trace": trace, "tool_calls": points.sparkSession.createDataFrame(calls, "tool string, calls bigint, ms double"), "_truth": cheap.select("series_id", "y_i")}
 
 
 def evaluate(found: dict[str, DataFrame]) -> dict[str, float]:
-    """AUROC of the final scores, adjusted Rand index of what is reported, and the number of deep looks."""
+    """AUROC of the final scores, adjusted Rand index of what is reported, calls of each tool and the seconds of both."""
     judged = found["ranked_list"].join(found["_truth"], "series_id").withColumn("predicted", F.col("is_reported").cast("int"))
-    return {"auroc": metrics.auroc(judged, "final_score").first()[0], "ari": metrics.adjusted_rand(judged).first()[0], "deep_calls": found["deep_detect"].count()}
+    calls = {r["tool"]: r for r in found["tool_calls"].collect()}  # a row a tool
+    scores = {"auroc": metrics.auroc(judged, "final_score").first()[0], "ari": metrics.adjusted_rand(judged).first()[0]}
+    return {**scores, "cheap_calls": calls["cheap_scan"]["calls"], "deep_calls": calls["deep_detect"]["calls"], "seconds": round(sum(r["ms"] for r in calls.values()) / 1000, 3)}
+
+
+def summary(scores: dict[str, float]) -> str:
+    """The run as a table in Markdown; what can't be computed is a dash."""
+    cell = lambda v: "-" if v is None else f"{v:,.4f}" if isinstance(v, float) else f"{v:,}"
+    return "\n".join(["# Run", "", "| measure | value |", "|---|---|", *(f"| {k} | {cell(v)} |" for k, v in scores.items())])
 
 
 def write_run(found: dict[str, DataFrame], root: str) -> None:
+    """The four tables as JSON lines, metrics.json, and summary.md."""
     for name in ("cheap_scan", "deep_detect", "ranked_list", "decision_trace"):
         write_rows(found[name], f"{root}/{name}.json")
+    spark, scores = found["ranked_list"].sparkSession, evaluate(found)
+    write_document(spark, scores, f"{root}/metrics.json")
+    write_text(spark, summary(scores), f"{root}/summary.md")

@@ -30,6 +30,9 @@ limits AS (SELECT recording AS lr, quantile_cont(value, 0.998::DOUBLE) AS lim FR
 points AS (SELECT recording, pos, value, CAST(value > lim AS INT) AS label FROM raw JOIN limits ON recording = lr)"""
 _DAILY = """daily AS (SELECT l_returnflag AS recording, CAST(l_shipdate AS DATE) AS day, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / 100.0::DOUBLE AS value FROM lineitem GROUP BY 1, 2),
 points AS (SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY day) - 1 AS pos, value FROM daily)"""
+#: Each point with the 2 * half + 1 around it, positions beyond an end held to it.
+_NEAR = """ends AS (SELECT recording AS er, max(pos) AS last FROM points GROUP BY 1),
+near AS (SELECT p.recording, p.pos, p.value, q.value AS near FROM points p JOIN ends ON er = p.recording CROSS JOIN (SELECT unnest(range(-{half}, {half} + 1)) AS k) JOIN points q ON q.recording = p.recording AND q.pos = least(greatest(p.pos + k, 0), last))"""
 _REFERENCE = """med AS (SELECT recording AS mr, median(value) AS m FROM points GROUP BY 1),
 mads AS (SELECT mr, any_value(m) AS m, median(abs(value - m)) * 1.4826::DOUBLE AS s FROM points JOIN med ON recording = mr GROUP BY 1),
 held AS (SELECT recording, CASE WHEN s > 1e-10 THEN least(greatest(value, m - 5 * s), m + 5 * s) ELSE value END AS v FROM points JOIN mads ON recording = mr),
@@ -125,14 +128,14 @@ def baseline_wander(spark, sf_dir):
     return _rounded(profile.baseline_wander(tables.daily_series(spark, sf_dir), 30), "wander", digits=2)
 
 
-@query(f"""WITH {_DAILY}, b AS (SELECT recording, value - median(value) OVER (PARTITION BY recording ORDER BY pos ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS r FROM points),
+@query(f"""WITH {_DAILY}, {_NEAR.format(half=50)}, b AS (SELECT recording, any_value(value) - median(near) AS r FROM near GROUP BY recording, pos),
 m AS (SELECT recording AS mr, median(r) AS m FROM b GROUP BY 1), q AS (SELECT recording, median(abs(r - m)) * 1.4826::DOUBLE AS s, quantile_cont(abs(r - m), 0.995::DOUBLE) AS a, quantile_cont(abs(r - m), 0.999::DOUBLE) AS z FROM b JOIN m ON recording = mr GROUP BY 1)
 SELECT recording, round(s, 2) AS sigma_vis, round(greatest(a, s * 1.2::DOUBLE), 2) AS reach, round(z - a, 2) AS tail_step FROM q""")
 def rolling_median_profile(spark, sf_dir):
     return _rounded(profile.visual_profile(tables.daily_series(spark, sf_dir)), "sigma_vis", "reach", "tail_step", digits=2)
 
 
-@query(f"WITH {_DAILY} SELECT recording, pos, round(avg(value) OVER (PARTITION BY recording ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING), 2) AS level FROM points")
+@query(f"WITH {_DAILY}, {_NEAR.format(half=10)} SELECT recording, pos, round(avg(near), 2) AS level FROM near GROUP BY 1, 2")
 def moving_average(spark, sf_dir):
     return _rounded(profile.rolling(tables.daily_series(spark, sf_dir), 10, "avg", "level"), "level", digits=2).select("recording", "pos", "level")
 
@@ -278,16 +281,33 @@ def orphan_metadata(spark, sf_dir):
 
 
 def _damaged(spark, sf_dir):
-    """A pool with one violation of several kinds."""
+    """A pool with a fault of each kind: a sample's number of its recording's slots says which."""
     points = _prices(spark, sf_dir)
     kept = written(chunks.samples(points, KNOBS, "R", F.lit("lineitem")), "kept")
-    meta = kept.withColumn("split", F.when(F.col("slot") == 3, "other").otherwise("dev")).withColumn("length", F.col("length") + (F.col("slot") == 2).cast("int"))
-    return chunks.sample_points(points, kept), meta
-
-
-@query(f"""WITH {_PRICES}, {_SLOTS}, {_REFERENCE}, {_JUDGED}, {_META} SELECT unnest(['unique_series', 'finite_values', 'binary_labels', 'metadata_has_data', 'data_has_metadata', 'length_matches', 'anomalies_match',
- 'label_matches', 'contiguous', 'length_bounds', 'anomaly_budget', 'known_split']) AS "check", unnest([0, 0, 0, 0, 0, (SELECT count(*) FROM kept WHERE slot = 2), 0, 0, 0,
- (SELECT count(*) FROM kept WHERE length < 450), 0, (SELECT count(*) FROM kept WHERE slot = 3)])::BIGINT AS violations""")
+    slot, hit = F.col("slot"), lambda n: (F.col("slot") == n).cast("int")
+    meta = kept.filter("slot != 7").withColumns({
+        "length": F.col("length") + hit(2), "split": F.when(slot == 3, "other").when(slot == 13, None).otherwise("dev"), "num_point_anomalies": F.col("num_point_anomalies") + hit(9), "y_i": F.when(slot == 10, 1 - F.col("y_i")).otherwise(F.col("y_i")),
+    })
+    meta = meta.withColumn("_copy", F.explode(F.when(slot == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_copy")
+    at = F.col("time_index")
+    cells = chunks.sample_points(points, kept).withColumn("slot", F.regexp_extract("series_id", r"_chunk(\d+)$", 1).try_cast("bigint")).filter("slot IS NULL OR slot != 8").withColumns({
+        "value": F.when((slot == 5) & (at == 0), float("nan")).when((slot == 14) & (at == 1), None).otherwise(F.col("value")),
+        "label": F.when((slot == 6) & (at == 0), 2).when((slot == 15) & (at == 1), None).when(slot == 12, 1).otherwise(F.col("label")), "time_index": F.when((slot == 11) & (at == 5), 6).otherwise(at),
+    })
+    return cells.drop("slot"), meta
+
+
+@query(f"""WITH {_PRICES}, {_SLOTS}, {_REFERENCE}, {_JUDGED}, {_META},
+meta AS (SELECT series_id, length + CAST(slot = 2 AS INT) AS length, num_point_anomalies + CAST(slot = 9 AS INT) AS marked, CASE WHEN slot = 10 THEN 1 - y_i ELSE y_i END AS y_i, CASE WHEN slot = 3 THEN 'other' WHEN slot <> 13 THEN 'dev' END AS split
+  FROM kept, LATERAL (SELECT unnest(range(CASE WHEN slot = 4 THEN 2 ELSE 1 END))) WHERE slot <> 7),
+cells AS (SELECT series_id, CASE WHEN slot = 11 AND pos - start = 5 THEN 6 ELSE pos - start END AS t, CASE WHEN slot = 5 AND pos = start THEN 'nan'::DOUBLE WHEN slot = 14 AND pos = start + 1 THEN NULL ELSE value END AS value,
+  CASE WHEN slot = 6 AND pos = start THEN 2 WHEN slot = 15 AND pos = start + 1 THEN NULL WHEN slot = 12 THEN 1 ELSE label END AS label FROM points JOIN kept ON kept.recording = points.recording AND pos >= start AND pos < start + length WHERE slot <> 8 OR original_length <= 5000),
+seen AS (SELECT series_id AS sid, count(*) AS n, sum(label) AS marked_points, bool_or(value IS NULL OR NOT isfinite(value)) AS odd_value, bool_or(label IS NULL OR label NOT IN (0, 1)) AS odd_label, list_sort(list(t)) <> range(count(*)) AS torn FROM cells GROUP BY 1),
+paired AS (SELECT *, count(series_id) OVER (PARTITION BY series_id) AS times FROM meta FULL JOIN seen ON sid = series_id),
+bad AS (SELECT unnest([struct_pack(c := 'unique_series', b := times > 1), struct_pack(c := 'finite_values', b := odd_value), struct_pack(c := 'binary_labels', b := odd_label), struct_pack(c := 'metadata_has_data', b := sid IS NULL),
+  struct_pack(c := 'data_has_metadata', b := series_id IS NULL), struct_pack(c := 'length_matches', b := length <> n), struct_pack(c := 'anomalies_match', b := marked <> marked_points), struct_pack(c := 'label_matches', b := (y_i = 1) <> (marked_points > 0)),
+  struct_pack(c := 'contiguous', b := torn), struct_pack(c := 'length_bounds', b := n < 450 OR n > 35000), struct_pack(c := 'anomaly_budget', b := marked_points / n::DOUBLE > 0.004::DOUBLE + 1e-9), struct_pack(c := 'known_split', b := series_id IS NOT NULL AND coalesce(split NOT IN ('dev', 'test'), TRUE))]) AS u FROM paired)
+SELECT u.c AS "check", count(*) FILTER (WHERE u.b) AS violations FROM bad GROUP BY 1""")
 def pool_validation(spark, sf_dir):
     return validate.violations(*_damaged(spark, sf_dir), lengths=(450, 35_000), max_ratio=0.004)
 
@@ -408,6 +428,89 @@ def event_windows(spark, sf_dir):
     return _rounded(w.withColumn("start", F.col("start").cast("timestamp_ntz")), "mean", "std")
 
 
+_ORDERS = """SELECT 'R__' || o_orderpriority || '__' || o_orderkey AS series_id, o_orderstatus AS base_type, CAST(o_orderpriority = '1-URGENT' AS INT) AS y_i, CASE WHEN o_orderkey % 3 = 0 THEN 'dev' ELSE 'test' END AS split,
+  CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 900 END AS period_detected, o_totalprice AS detect_z, (o_custkey % 100) / 128.0::DOUBLE AS anomaly_fraction FROM orders"""
+
+
+def _orders(spark, sf_dir):
+    """Orders in the form of a pool's metadata."""
+    key = F.col("o_custkey")
+    return tables.table(spark, sf_dir, "orders").select(
+        F.concat_ws("__", F.lit("R"), "o_orderpriority", F.col("o_orderkey").cast("string")).alias("series_id"), F.col("o_orderstatus").alias("base_type"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("y_i"),
+        F.when(F.col("o_orderkey") % 3 == 0, "dev").otherwise("test").alias("split"), F.when(key % 4 > 0, key % 900).alias("period_detected"), F.col("o_totalprice").alias("detect_z"), ((key % 100) / 128.0).alias("anomaly_fraction"),
+    )
+
+
+@query(f"SELECT base_type, split, count(*) AS n_series, round(avg(y_i), 8) AS positive_rate, round(count(period_detected) / count(*)::DOUBLE, 8) AS period_share FROM ({_ORDERS}) GROUP BY 1, 2")
+def split_summary(spark, sf_dir):
+    return _rounded(metrics.split_summary(_orders(spark, sf_dir), ["base_type"]), "positive_rate", "period_share", digits=8)
+
+
+@query(f"SELECT base_type, sum(y_i)::BIGINT AS n_dirty, min(detect_z) FILTER (WHERE y_i = 1) AS least, round(median(detect_z) FILTER (WHERE y_i = 1), 4) AS median, round(avg(anomaly_fraction) FILTER (WHERE y_i = 1), 8) AS fraction FROM ({_ORDERS}) GROUP BY 1")
+def dirty_summary(spark, sf_dir):
+    return _rounded(_rounded(metrics.dirty_summary(_orders(spark, sf_dir), ["base_type"]), "median"), "fraction", digits=8)
+
+
+@query("SELECT DISTINCT o_orderpriority AS dataset FROM orders")
+def distinct_datasets(spark, sf_dir):
+    return metrics.datasets(_orders(spark, sf_dir))
+
+
+@query(f"SELECT series_id, base_type, detect_z FROM ({_ORDERS}) ORDER BY detect_z, series_id LIMIT 25")
+def stored_head(spark, sf_dir):
+    return explore.head(_orders(spark, sf_dir), 25, ("detect_z", "series_id")).select("series_id", "base_type", "detect_z")
+
+
+@query("""SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN (SELECT 'N' || n_nationkey AS k, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0) ON k = 'N' || c_nationkey""")
+def metadata_lookup(spark, sf_dir):
+    named = tables.table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").join(tables.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = named.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("series_id"), "n_name", "r_name")
+    points = tables.table(spark, sf_dir, "customer").select(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("series_id"), "c_custkey")
+    return explore.described(points, named).select("c_custkey", "n_name", "r_name")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.2f', l_orderkey * 0.005::DOUBLE)::DOUBLE AS near_tie, printf('%.2f', l_partkey / 8.0::DOUBLE)::DOUBLE AS tie, printf('%.4f', l_extendedprice * l_discount / 7)::DOUBLE AS quotient,
+round(l_extendedprice / 7 % 1, 8) AS phase, l_partkey // 32 * 32 AS down, (l_partkey + 31) // 32 * 32 AS up, round(exp(ln(0.01::DOUBLE) + l_discount * (ln(0.3::DOUBLE) - ln(0.01::DOUBLE))), 10) AS log_uniform, l_discount IS NOT NULL AS tagged FROM lineitem""")
+def number_functions(spark, sf_dir):
+    part, price = F.col("l_partkey"), F.col("l_extendedprice")
+    return tables.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scalars.round_binary(F.col("l_orderkey") * 0.005, 2).alias("near_tie"), scalars.round_binary(part / 8.0, 2).alias("tie"), scalars.round_binary(price * F.col("l_discount") / 7, 4).alias("quotient"),
+        F.round(scalars.fraction_of_cycle(price / 7), 8).alias("phase"), scalars.down_to_multiple(part, F.lit(32)).alias("down"), scalars.up_to_multiple(part, F.lit(32)).alias("up"),
+        F.round(scalars.log_uniform(F.col("l_discount"), 0.01, 0.3), 10).alias("log_uniform"), F.col("l_discount").isNotNull().alias("tagged"),
+    )
+
+
+@query("""SELECT o_orderkey, 'unit' || o_custkey % 7 AS machine, CASE WHEN o_custkey % 2 = 0 THEN 'even;' ELSE '' END || o_orderstatus || CASE WHEN o_custkey % 5 = 0 THEN ';whole_series' ELSE '' END AS notes, o_custkey % 5 = 0 AS is_whole,
+printf('%05d', o_custkey) AS number, printf('%.1f', round(o_custkey % 64 / 64.0::DOUBLE * 1000) / 10) || '%' AS share, format('{:,}', o_orderkey * 1009) AS thousands,
+'{' || concat_ws(',', '"base_type":"' || o_orderstatus || '"', CASE WHEN o_custkey % 3 > 0 THEN '"split":"dev"' END) || '}' AS tags FROM orders""")
+def text_functions(spark, sf_dir):
+    key = F.col("o_custkey")
+    orders = tables.table(spark, sf_dir, "orders")
+    tagged = explore.tags(orders.select(F.col("o_orderkey").alias("series_id"), F.col("o_orderstatus").alias("base_type"), F.when(key % 3 > 0, "dev").alias("split"))).withColumnRenamed("series_id", "o_orderkey")
+    notes = scalars.notes(F.when(key % 2 == 0, "even").otherwise(""), F.col("o_orderstatus"), F.when(key % 5 == 0, "whole_series"))
+    return orders.select(
+        "o_orderkey", scalars.machine_of(F.format_string("unit%d_col_%d", key % 7, "o_orderkey")).alias("machine"), notes.alias("notes"), scalars.is_whole(notes).alias("is_whole"), scalars.numbered(key).alias("number"),
+        scalars.percent(F.round(key % 64 / 64.0, 3)).alias("share"), scalars.thousands(F.col("o_orderkey") * 1009).alias("thousands"),
+    ).join(tagged, "o_orderkey")
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS recording, CASE WHEN s_suppkey % 10 > 0 THEN 25 + s_suppkey * 7 % 200 END AS planted, TRUE AS found FROM supplier")
+def planted_periods(spark, sf_dir):
+    """A wave of a period of its own for each supplier, with noise by hash; every tenth is noise alone.
+
+    found: the detector's period is within 6% of the planted one, the window within which it moves a guess to a hill
+    (of 90 waves 81 are found to the sample, the others within 3); noise must have none.
+    """
+    key, i = F.col("s_suppkey"), F.col("pos")
+    planted, noise = F.when(key % 10 > 0, 25 + key * 7 % 200), F.xxhash64(key, i) / 2.0**64
+    wave = F.sin(2 * F.pi() * i / planted) + 0.6 * F.sin(4 * F.pi() * i / planted + 1) + 0.4 * F.cos(10 * F.pi() * i / planted)
+    rows = tables.table(spark, sf_dir, "supplier").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(2499))))
+    points = rows.select(key.cast("string").alias("recording"), i.cast("long").alias("pos"), (F.coalesce(wave, F.lit(0.0)) + 0.05 * noise + 0.001 * i).alias("value"))
+    truth = tables.table(spark, sf_dir, "supplier").select(key.cast("string").alias("recording"), planted.alias("planted"))
+    near = F.coalesce(F.abs(F.col("period") - F.col("planted")) <= 0.06 * F.col("planted"), F.col("period").isNull() & F.col("planted").isNull())
+    return real_pool.periods(points, SamplerConfig()).join(truth, "recording").select("recording", "planted", near.alias("found"))
+
+
 # what SQL can't say
 
 

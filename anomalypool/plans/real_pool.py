@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SamplerConfig
-from ..functions.scalars import machine_of
+from ..functions.scalars import is_whole, machine_of, round_binary
 from ..kernels.legacy import Cutter
 from ..kernels.signal import detect_period
 from ..operators import chunks, compose, validate
@@ -73,15 +73,16 @@ def build(points: DataFrame, group: str, config: SamplerConfig = SamplerConfig()
         kept, found = (compose.with_split(x, sides, group, config) for x in (kept, found))
         if (apart := compose.straddling(kept).limit(5).collect()):
             raise validate.PoolError(f"machines on both sides: {apart}")
-    columns = ["series_id", "length", "num_point_anomalies", "y_i", "is_split", "original_length", "source_notes", *([] if config.legacy else ["split"]), "period_detected", "is_representative", F.round("anomaly_ratio", 4).alias("anomaly_ratio")]
-    return {"points": pool.join(kept.select("series_id"), "series_id", "left_semi"), "metadata": kept.select(*columns), "full_points": pool, "full_metadata": found.select(*columns), "stats": stats}
+    order = ["dataset", "recording", "start"]
+    columns = ["series_id", "length", "num_point_anomalies", "y_i", "is_split", "original_length", "source_notes", *([] if config.legacy else ["split"]), "period_detected", "is_representative", round_binary(F.col("anomaly_ratio"), 4).alias("anomaly_ratio")]
+    return {"points": pool.join(kept.select("series_id"), "series_id", "left_semi"), "metadata": kept.orderBy(*order).select(*columns), "full_points": pool, "full_metadata": found.orderBy(*order).select(*columns), "stats": stats}
 
 
 def publish(pool: dict, root: str, group: str, config: SamplerConfig = SamplerConfig(), full: bool = True) -> None:
     """Validate, then write: nothing is written of a pool that violates anything."""
     ratio = config.max_anomaly_ratio
     if config.legacy:
-        ratio = F.when(F.coalesce("source_notes", F.lit("")).contains("whole_series"), config.legacy_max_ratio).otherwise(config.legacy_acceptable_ratio)
+        ratio = F.when(is_whole(F.col("source_notes")), config.legacy_max_ratio).otherwise(config.legacy_acceptable_ratio)
     validate.validate(pool["points"], pool["metadata"], lengths=(config.min_length, config.max_length), max_ratio=ratio)
     write_pool(pool["points"], pool["metadata"], root, group)
     if full:

@@ -23,8 +23,12 @@ def load_pool(spark: SparkSession, root: str, group: str, full: bool = False) ->
 
 
 def write_document(spark: SparkSession, document: dict, path: str) -> None:
-    """A small JSON document, indented, as one text file in a folder of that name."""
-    text = json.dumps(document, indent=2, ensure_ascii=False, default=str)
+    """A small JSON document, indented."""
+    write_text(spark, json.dumps(document, indent=2, ensure_ascii=False, default=str), path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file in a folder of that name."""
     spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

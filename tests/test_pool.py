@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from anomalypool.config import PoolConfig, SamplerConfig
-from anomalypool.operators import chunks, compose, order, validate
+from anomalypool.operators import chunks, compose, explore, order, profile, validate
 from anomalypool.plans import agent, real_pool, synthetic_pool
 from anomalypool.sources import pools, raw
 from anomalypool.streaming import replay
@@ -176,7 +176,9 @@ def test_synthetic_pool_and_triage(spark, tmp_path):
     found = agent.triage(p, budget=100)
     agent.write_run(found, f"file://{tmp_path}/run")
     scores = agent.evaluate(found)
-    assert scores["deep_calls"] == 6 and scores["auroc"] > 0.5
+    assert scores["deep_calls"] == 6 and scores["cheap_calls"] == 60 and scores["auroc"] > 0.5 and scores["seconds"] > 0
+    read = lambda name: "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/run/{name}").collect())
+    assert json.loads(read("metrics.json")) == pytest.approx(scores) and "| deep_calls | 6 |" in read("summary.md")
     assert found["ranked_list"].count() == 60 and found["decision_trace"].count() == 6
 
 
@@ -187,3 +189,34 @@ def test_stream_of_events(spark, tmp_path):
     query.awaitTermination(60)
     got = {r["start"].hour: r["n"] for r in spark.table("windows").collect()}
     assert got.items() <= {0: 3, 1: 3, 2: 3}.items() and 0 in got
+
+
+def test_rolling_repeats_the_ends(spark):
+    """By numpy, on recordings shorter than the window, of several blocks, and with a column that clashes with none of its own."""
+    rng = np.random.default_rng(5)
+    made = {f"r{n}": rng.normal(size=n) for n in (1, 2, 5, 11, 37)}
+    rows = [(k, i, float(v), "x") for k, x in made.items() for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "recording string, pos bigint, value double, block string")
+    for what, of in (("avg", np.mean), ("median", np.median)):
+        got = {(r["recording"], r["pos"]): r["m"] for r in profile.rolling(points, 3, what, "m", block=8).collect()}
+        near = {k: np.lib.stride_tricks.sliding_window_view(np.pad(x, 3, mode="edge"), 7) for k, x in made.items()}
+        assert got == pytest.approx({(k, i): of(w) for k, ws in near.items() for i, w in enumerate(ws)})
+    assert profile.rolling(points.limit(0), 3, "avg", "m").columns == [*points.columns, "m"]
+
+
+def test_binary_rounding_is_that_of_python(spark):
+    from anomalypool.functions import scalars
+
+    rng = np.random.default_rng(2)
+    xs = [0.125, 0.375, 2.675, 1.005, -0.125, -2.675, 0.5, 1.5, 2.5, 0.0, 1e300, *rng.normal(scale=100, size=300).tolist(), *(i / 8 for i in range(-40, 40)), *(i * 0.005 for i in range(400))]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (0, 2, 3, 6):
+        got = rows.select("x", scalars.round_binary(F.col("x"), digits).alias("r")).collect()
+        assert [r["r"] for r in got] == [round(r["x"], digits) for r in got]
+
+
+def test_points_keep_their_rows_without_metadata(spark):
+    points = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], "series_id string, time_index bigint, value double")
+    metadata = spark.createDataFrame([("a", 7.0, "t")], "series_id string, value double, base_type string")
+    assert sorted(map(tuple, explore.described(points, metadata).collect())) == [("a", 0, 1.0, "t"), ("b", 0, 2.0, None)]
+    assert [r[0] for r in explore.head(points, 1, ("value",)).collect()] == ["a"]
