@@ -1,9 +1,10 @@
 """Chat formatting by prefix trees: conversations that begin alike share their first turns, which are written once.
 
 Conversations are sorted by the hashes of their turns, so that the order of rows is the depth-first order of the
-prefix trees. A pack is a stretch of that order: a stream of text in which every shared turn stands once, in front of
+prefix trees. A pack is a stretch of that order: a stream of tokens in which every shared turn stands once, in front of
 all that follows it, with the position of each turn in its own conversation and the intervals of the stream that the
-turn may attend to: its ancestors and itself.
+turn may attend to: its ancestors and itself. A turn's head, text and end are encoded apart, so that its tokens depend
+on nothing before it and the loss mask begins and ends between tokens.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from .bpe import Encoder, load_merges
 
 #: The template's marks, and the control strings that texts are kept from spelling.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-PACK_CHARS = 1 << 20
+PACK_TOKENS = 1 << 18
 PACK_LEAVES = 1 << 14
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 
@@ -44,16 +46,13 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(\\|n)?", lambda m: {"\\": "\\", "n": "\n", None: ""}[m[1]], role)
 
 
-def format_turn(role: str, text: str) -> str:
-    return f"{OPEN}{escape_role(role)}{MIDDLE}{escape(text)}{CLOSE}"
+def turn_pieces(role: str, text: str) -> tuple[str, str, str]:
+    """A formatted turn: what stands before the escaped text, that text, and what ends the turn."""
+    return f"{OPEN}{escape_role(role)}{MIDDLE}", escape(text), CLOSE
 
 
-def loss_interval(role: str, text: str) -> tuple[int, int]:
-    """Where in format_turn(role, text) the escaped text stands that a loss counts: that of assistants, else nothing."""
-    if role != "assistant":
-        return 0, 0
-    at = len(OPEN) + len(escape_role(role)) + len(MIDDLE)
-    return at, at + len(escape(text))
+def format_turn(role: str, text: str) -> str:
+    return "".join(turn_pieces(role, text))
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -65,14 +64,15 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-PACK = """pack string, stream string,
+PACK = """pack string, ids array<int>,
 nodes array<struct<start bigint, length bigint, position bigint, parent int, loss_start bigint, loss_end bigint, intervals array<struct<lo bigint, hi bigint>>>>,
 leaves array<struct<conv_id {id}, node int>>"""
 
 
 class _Pack:
-    def __init__(self) -> None:
-        self.parts: list[str] = []
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+        self.parts: list[np.ndarray] = []
         self.nodes: list[dict] = []
         self.leaves: list[dict] = []
         self.size = 0
@@ -83,41 +83,43 @@ class _Pack:
         while shared < min(len(turns), len(self.path)) and self.path[shared][0] == turns[shared]:
             shared += 1
         del self.path[shared:]
-        for role, text in turns[shared:]:
+        for turn in turns[shared:]:
             parent = self.path[-1][1] if self.path else -1
             above = self.nodes[parent] if self.path else {"position": 0, "length": 0, "intervals": []}
-            shown = format_turn(role, text)
-            lo, hi = loss_interval(role, text)
+            pieces = [self.encoder.ids(x) for x in turn_pieces(*turn)]
+            head, body, tail = map(len, pieces)
+            end = self.size + head + body + tail
+            loss = (self.size + head, self.size + head + body) if turn[0] == "assistant" else (self.size, self.size)
             intervals = list(above["intervals"])
             if intervals and intervals[-1]["hi"] == self.size:
-                intervals[-1] = {"lo": intervals[-1]["lo"], "hi": self.size + len(shown)}
+                intervals[-1] = {"lo": intervals[-1]["lo"], "hi": end}
             else:
-                intervals.append({"lo": self.size, "hi": self.size + len(shown)})
+                intervals.append({"lo": self.size, "hi": end})
             self.nodes.append({
-                "start": self.size, "length": len(shown), "position": above["position"] + above["length"], "parent": parent,
-                "loss_start": self.size + lo, "loss_end": self.size + hi, "intervals": intervals,
+                "start": self.size, "length": end - self.size, "position": above["position"] + above["length"], "parent": parent,
+                "loss_start": loss[0], "loss_end": loss[1], "intervals": intervals,
             })
-            self.path.append(((role, text), len(self.nodes) - 1))
-            self.parts.append(shown)
-            self.size += len(shown)
+            self.path.append((turn, len(self.nodes) - 1))
+            self.parts += pieces
+            self.size = end
         self.leaves.append({"conv_id": conv_id, "node": self.path[-1][1] if self.path else -1})
 
     def row(self) -> dict:
-        stream = "".join(self.parts)
-        name = hashlib.sha256(f"{self.leaves[0]['conv_id']}|{len(self.leaves)}|{stream}".encode()).hexdigest()[:32]
-        return {"pack": name, "stream": stream, "nodes": self.nodes, "leaves": self.leaves}
+        ids = np.concatenate(self.parts).astype("<i4") if self.parts else np.zeros(0, "<i4")
+        name = hashlib.sha256(f"{self.leaves[0]['conv_id']}|{len(self.leaves)}|".encode() + ids.tobytes()).hexdigest()[:32]
+        return {"pack": name, "ids": ids.tolist(), "nodes": self.nodes, "leaves": self.leaves}
 
 
-def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_chars: int = PACK_CHARS, pack_leaves: int = PACK_LEAVES) -> DataFrame:
-    """Packs of formatted conversations, from one row per turn: pack, stream, nodes, leaves.
+def chat_packs(turns: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_tokens: int = PACK_TOKENS, pack_leaves: int = PACK_LEAVES) -> DataFrame:
+    """Packs of formatted conversations, from one row per turn: pack, ids, nodes, leaves.
 
-    nodes are the turns of the stream in its order: start and length in the stream (code points), position of their
-    first code point in their conversation, parent (number of a node, -1 at the root), the part of the stream that a
+    ids are the tokens of the stream. nodes are its turns in its order: start and length in the stream (tokens),
+    position of their first token in their conversation, parent (number of a node, -1 at the root), the part of the stream that a
     loss counts (loss_start, loss_end), and intervals: the ancestors and the node itself, which is all it attends to.
     leaves says at which node each conversation ends; those with the same turns end at the same.
 
-    A pack ends when the first turn changes after pack_chars, or where a partition of the sorted conversations ends,
-    or at 4 * pack_chars or pack_leaves conversations whatever the turns: then the next pack begins with the shared
+    A pack ends when the first turn changes after pack_tokens, or where a partition of the sorted conversations ends,
+    or at 4 * pack_tokens or pack_leaves conversations whatever the turns: then the next pack begins with the shared
     turns again. So a first turn that very many conversations share is spread over many tasks, and a row stays bounded
     where very many conversations are equal. Null roles and texts count as empty; turns are in
     order of turn_col, null first, then of role and text; all rows of a conversation make one, the repeated ones too. Null ids make
@@ -132,14 +134,15 @@ def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     schema = PACK.format(id=rows.schema["_c"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = _Pack()
+        encoder = Encoder(load_merges(vocabulary))
+        pack = _Pack(encoder)
         for batch in batches:
             for conv_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spoken = [(t["r"], t["x"]) for t in own]
                 apart = not pack.path or not spoken or pack.path[0][0] != spoken[0]
-                if pack.leaves and (pack.size >= pack_chars and apart or pack.size >= 4 * pack_chars or len(pack.leaves) >= pack_leaves):
+                if pack.leaves and (pack.size >= pack_tokens and apart or pack.size >= 4 * pack_tokens or len(pack.leaves) >= pack_leaves):
                     yield _batch(pack)
-                    pack = _Pack()
+                    pack = _Pack(encoder)
                 pack.add(conv_id, spoken)
         if pack.leaves:
             yield _batch(pack)
@@ -150,7 +153,7 @@ def chat_packs(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     id_type = _arrow_type(rows.schema["_c"].dataType)
     interval = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
     node = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("position", pa.int64()), ("parent", pa.int32()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("intervals", pa.list_(interval))])
-    arrow = pa.schema([("pack", pa.string()), ("stream", pa.string()), ("nodes", pa.list_(node)), ("leaves", pa.list_(pa.struct([("conv_id", id_type), ("node", pa.int32())])))])
+    arrow = pa.schema([("pack", pa.string()), ("ids", pa.list_(pa.int32())), ("nodes", pa.list_(node)), ("leaves", pa.list_(pa.struct([("conv_id", id_type), ("node", pa.int32())])))])
     return order.select("_c", "_turns").mapInArrow(run, schema)
 
 
@@ -167,8 +170,8 @@ def _arrow_type(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def conversation_digests(packs: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: every conversation read back from the packs.
+def conversation_digests(packs: DataFrame, vocabulary: str) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: every conversation decoded and read back from the packs.
 
     A conversation is what its last node attends to. turns_sha256 is of role, \\n, text, \\n of every turn; the loss
     digest is of the unescaped text under the loss mask.
@@ -176,26 +179,27 @@ def conversation_digests(packs: DataFrame) -> DataFrame:
     kind = packs.schema["leaves"].dataType.elementType["conv_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = load_merges(vocabulary).bytes_of
+
+        def digests(ids: list[int], nodes: list[dict], node: int) -> tuple:
+            shown = lambda lo, hi: b"".join([table[i] for i in ids[lo:hi]])
+            own = b"".join(shown(i["lo"], i["hi"]) for i in nodes[node]["intervals"]).decode() if node >= 0 else ""
+            spans = []
+            while node >= 0:
+                spans.append((nodes[node]["loss_start"], nodes[node]["loss_end"]))
+                node = nodes[node]["parent"]
+            masked = "".join(unescape(shown(*s).decode()) for s in reversed(spans))
+            turns = read_turns(own)
+            said = "".join(f"{role}\n{text}\n" for role, text in turns)
+            return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(own)
+
         for batch in batches:
-            for stream, nodes, leaves in zip(*(batch.column(c).to_pylist() for c in ("stream", "nodes", "leaves"))):
-                out = []
-                for leaf in leaves:
-                    if leaf["node"] < 0:
-                        own, masked = "", ""
-                    else:
-                        own = "".join(stream[i["lo"] : i["hi"]] for i in nodes[leaf["node"]]["intervals"])
-                        spans, at = [], leaf["node"]
-                        while at >= 0:
-                            spans.append((nodes[at]["loss_start"], nodes[at]["loss_end"]))
-                            at = nodes[at]["parent"]
-                        masked = "".join(unescape(stream[a:b]) for a, b in reversed(spans))
-                    turns = read_turns(own)
-                    said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                    out.append((leaf["conv_id"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(own)))
-                columns = list(zip(*out))
+            for ids, nodes, leaves in zip(*(batch.column(c).to_pylist() for c in ("ids", "nodes", "leaves"))):
+                known = {n: digests(ids, nodes, n) for n in {leaf["node"] for leaf in leaves}}
+                columns = list(zip(*((leaf["conv_id"], *known[leaf["node"]]) for leaf in leaves)))
                 kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     id_type = _arrow_type(kind)
-    return packs.select("stream", "nodes", "leaves").mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return packs.select("ids", "nodes", "leaves").mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

@@ -14,7 +14,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat_tree.conversation_digests(chat_tree.chat_packs(turns.unionByName(probe)))
+    return chat_tree.conversation_digests(chat_tree.chat_packs(turns.unionByName(probe), bpe.vocabulary_path()), bpe.vocabulary_path())
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,24 +150,26 @@ def test_escape_is_reversible_and_leaves_no_control_string(text):
 
 def test_packs_of_equal_conversations_stay_bounded(spark):
     turns = spark.range(20_000).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "'hi' AS text")
-    packs = chat_tree.chat_packs(turns, pack_leaves=3000)
+    packs = chat_tree.chat_packs(turns, V, pack_leaves=3000)
     assert max(len(r["leaves"]) for r in packs.select("leaves").collect()) == 3000
-    got = chat_tree.conversation_digests(packs).collect()
+    got = chat_tree.conversation_digests(packs, V).collect()
     assert sorted(r["conv_id"] for r in got) == list(range(20_000)) and {(r["n_turns"], r["formatted_chars"]) for r in got} == {(1, len(chat_tree.format_turn("user", "hi")))}
 
 
-def test_chat_packs(spark):
+def test_chat_packs(spark, library):
     rng = random.Random(1)
     turns, want = [], {}
     for c in range(120):
         own = [("system", "be [INST] good")] * (c % 2) + [(("user", "assistant")[i % 2], f"t{rng.randint(0, 2)} \\ </s>") for i in range(rng.randint(0 if c % 2 else 1, 5))]
         want[c] = own
         turns += [(c, i, r, t) for i, (r, t) in enumerate(own)]
+    turns += [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, None, "assistant", "b"), (902, 3, "user", "twice"), (902, 3, "user", "twice")]
+    want |= {None: [("assistant", "b"), ("user", "a"), ("user", "a")], 902: [("user", "twice")] * 2}
     turns += [(900, None, None, None), (901, 1, "assistant", "x" * 3000), (901, 0, "user", "")]
     want |= {900: [("", "")], 901: [("user", ""), ("assistant", "x" * 3000)]}
     df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").withColumnRenamed("turn", "turn").repartition(4)
-    packs = chat_tree.chat_packs(df, pack_chars=400)
-    got = {r["conv_id"]: r for r in chat_tree.conversation_digests(packs).collect()}
+    packs = chat_tree.chat_packs(df, V, pack_tokens=150)
+    got = {r["conv_id"]: r for r in chat_tree.conversation_digests(packs, V).collect()}
     assert set(got) == set(want)
     for c, own in want.items():
         said = "".join(f"{r}\n{t}\n" for r, t in own)
@@ -175,11 +177,16 @@ def test_chat_packs(spark):
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[c]["formatted_chars"] == sum(len(chat_tree.format_turn(*t)) for t in own)
     for p in packs.collect():
-        assert len(p["nodes"]) == len({(n["parent"], p["stream"][n["start"] : n["start"] + n["length"]]) for n in p["nodes"]})  # shared turns once
+        assert len(p["nodes"]) == len({(n["parent"], tuple(p["ids"][n["start"] : n["start"] + n["length"]])) for n in p["nodes"]})  # shared turns once
         for i, n in enumerate(p["nodes"]):
             assert n["parent"] < i and n["position"] == (p["nodes"][n["parent"]]["position"] + p["nodes"][n["parent"]]["length"] if n["parent"] >= 0 else 0)
             assert sum(x["hi"] - x["lo"] for x in n["intervals"]) == n["position"] + n["length"]
-    assert chat_tree.chat_packs(df.limit(0)).count() == 0
+            ids = p["ids"][n["start"] : n["start"] + n["length"]]
+            (role, text), = chat_tree.read_turns(library.decode(ids, skip_special_tokens=False))
+            head, body, tail = (library.encode(x, add_special_tokens=False).ids for x in chat_tree.turn_pieces(role, text))
+            lost = p["ids"][n["loss_start"] : n["loss_end"]]
+            assert ids == head + body + tail and lost == (body if role == "assistant" else [])
+    assert chat_tree.chat_packs(df.limit(0), V).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body class="nav-open"><header>Site</header><nav><ul><li>Home</ul></nav>
