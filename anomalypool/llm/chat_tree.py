@@ -11,20 +11,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, load_merges
+from .bpe import Encoder, load_merges, ranked_chunks
 
 #: The template's marks, and the control strings that texts are kept from spelling.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 PACK_TOKENS = 1 << 18
 PACK_LEAVES = 1 << 14
+RECENT = 1 << 14  # chunks that an encoder remembers
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 
 
@@ -69,13 +72,25 @@ nodes array<struct<start bigint, length bigint, position bigint, parent int, los
 leaves array<struct<conv_id {id}, node int>>"""
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    """One a worker process, whatever the number of its tasks."""
+    merges = load_merges(vocabulary)
+    return Encoder(merges, ranked_chunks(merges), memory=RECENT)
+
+
 class _Pack:
+    """The open pack: a column for each field of its nodes, whose intervals stand one behind the other."""
+
+    FIELDS = ("start", "length", "position", "parent", "loss_start", "loss_end")
+
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
-        self.parts: list[np.ndarray] = []
-        self.nodes: list[dict] = []
-        self.leaves: list[dict] = []
-        self.size = 0
+        self.ids = array("i")
+        self.fields = {f: array("q") for f in self.FIELDS}
+        self.lows, self.highs, self.ends = array("q"), array("q"), array("i", [0])  # ends: of the intervals of each node
+        self.convs: list = []
+        self.at = array("i")
         self.path: list[tuple[tuple[str, str], int]] = []  # the turns of the last conversation, and their nodes
 
     def add(self, conv_id, turns: list[tuple[str, str]]) -> None:
@@ -84,30 +99,42 @@ class _Pack:
             shared += 1
         del self.path[shared:]
         for turn in turns[shared:]:
-            parent = self.path[-1][1] if self.path else -1
-            above = self.nodes[parent] if self.path else {"position": 0, "length": 0, "intervals": []}
-            pieces = [self.encoder.ids(x) for x in turn_pieces(*turn)]
-            head, body, tail = map(len, pieces)
-            end = self.size + head + body + tail
-            loss = (self.size + head, self.size + head + body) if turn[0] == "assistant" else (self.size, self.size)
-            intervals = list(above["intervals"])
-            if intervals and intervals[-1]["hi"] == self.size:
-                intervals[-1] = {"lo": intervals[-1]["lo"], "hi": end}
+            parent, position, seen = -1, 0, []
+            if self.path:
+                parent = self.path[-1][1]
+                position = self.fields["position"][parent] + self.fields["length"][parent]
+                own = slice(self.ends[parent], self.ends[parent + 1])
+                seen = [*zip(self.lows[own], self.highs[own])]
+            start = len(self.ids)
+            bounds = []
+            for piece in turn_pieces(*turn):
+                self.ids.frombytes(self.encoder.ids(piece).astype("<i4").tobytes())
+                bounds.append(len(self.ids))
+            head, body, end = bounds
+            if seen and seen[-1][1] == start:
+                seen[-1] = (seen[-1][0], end)
             else:
-                intervals.append({"lo": self.size, "hi": end})
-            self.nodes.append({
-                "start": self.size, "length": end - self.size, "position": above["position"] + above["length"], "parent": parent,
-                "loss_start": loss[0], "loss_end": loss[1], "intervals": intervals,
-            })
-            self.path.append((turn, len(self.nodes) - 1))
-            self.parts += pieces
-            self.size = end
-        self.leaves.append({"conv_id": conv_id, "node": self.path[-1][1] if self.path else -1})
-
-    def row(self) -> dict:
-        ids = np.concatenate(self.parts).astype("<i4") if self.parts else np.zeros(0, "<i4")
-        name = hashlib.sha256(f"{self.leaves[0]['conv_id']}|{len(self.leaves)}|".encode() + ids.tobytes()).hexdigest()[:32]
-        return {"pack": name, "ids": ids.tolist(), "nodes": self.nodes, "leaves": self.leaves}
+                seen.append((start, end))
+            loss = (head, body) if turn[0] == "assistant" else (start, start)
+            for f, v in zip(self.FIELDS, (start, end - start, position, parent, *loss)):
+                self.fields[f].append(v)
+            self.lows.extend(lo for lo, _ in seen)
+            self.highs.extend(hi for _, hi in seen)
+            self.ends.append(len(self.lows))
+            self.path.append((turn, len(self.ends) - 2))
+        self.convs.append(conv_id)
+        self.at.append(self.path[-1][1] if self.path else -1)
+
+    def batch(self, schema: pa.Schema) -> pa.RecordBatch:
+        """One row, as columns."""
+        whole = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        of = lambda values, kind: pa.array(np.array(values), kind)
+        name = hashlib.sha256(f"{self.convs[0]}|{len(self.convs)}|".encode() + self.ids.tobytes()).hexdigest()[:32]
+        intervals = pa.ListArray.from_arrays(of(self.ends, pa.int32()), pa.StructArray.from_arrays([of(self.lows, pa.int64()), of(self.highs, pa.int64())], ["lo", "hi"]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        nodes = pa.StructArray.from_arrays([*(of(self.fields[f], k) for f, k in zip(self.FIELDS, kinds)), intervals], [*self.FIELDS, "intervals"])
+        leaves = pa.StructArray.from_arrays([pa.array(self.convs, schema.field("leaves").type.value_type.field("conv_id").type), of(self.at, pa.int32())], ["conv_id", "node"])
+        return pa.RecordBatch.from_arrays([pa.array([name]), whole(of(self.ids, pa.int32())), whole(nodes), whole(leaves)], schema=schema)
 
 
 def chat_packs(turns: DataFrame, vocabulary: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pack_tokens: int = PACK_TOKENS, pack_leaves: int = PACK_LEAVES) -> DataFrame:
@@ -134,21 +161,19 @@ def chat_packs(turns: DataFrame, vocabulary: str, conv_col: str = "conv_id", tur
     schema = PACK.format(id=rows.schema["_c"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load_merges(vocabulary))
+        encoder = _encoder(vocabulary)
         pack = _Pack(encoder)
         for batch in batches:
             for conv_id, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 spoken = [(t["r"], t["x"]) for t in own]
                 apart = not pack.path or not spoken or pack.path[0][0] != spoken[0]
-                if pack.leaves and (pack.size >= pack_tokens and apart or pack.size >= 4 * pack_tokens or len(pack.leaves) >= pack_leaves):
-                    yield _batch(pack)
+                size = len(pack.ids)
+                if pack.convs and (size >= pack_tokens and apart or size >= 4 * pack_tokens or len(pack.convs) >= pack_leaves):
+                    yield pack.batch(arrow)
                     pack = _Pack(encoder)
                 pack.add(conv_id, spoken)
-        if pack.leaves:
-            yield _batch(pack)
-
-    def _batch(pack: _Pack) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([pack.row()], schema=arrow)
+        if pack.convs:
+            yield pack.batch(arrow)
 
     id_type = _arrow_type(rows.schema["_c"].dataType)
     interval = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
@@ -180,25 +205,39 @@ def conversation_digests(packs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = load_merges(vocabulary).bytes_of
+        size_of = np.array(list(map(len, table)))
 
-        def digests(ids: list[int], nodes: list[dict], node: int) -> tuple:
-            shown = lambda lo, hi: b"".join([table[i] for i in ids[lo:hi]])
-            own = b"".join(shown(i["lo"], i["hi"]) for i in nodes[node]["intervals"]).decode() if node >= 0 else ""
-            spans = []
-            while node >= 0:
-                spans.append((nodes[node]["loss_start"], nodes[node]["loss_end"]))
-                node = nodes[node]["parent"]
-            masked = "".join(unescape(shown(*s).decode()) for s in reversed(spans))
+        def digests(stream: bytes, spans: list[tuple[int, int]], losses: list[tuple[int, int]]) -> tuple:
+            own = b"".join(stream[lo:hi] for lo, hi in spans).decode()
+            masked = "".join(unescape(stream[lo:hi].decode()) for lo, hi in losses)
             turns = read_turns(own)
             said = "".join(f"{role}\n{text}\n" for role, text in turns)
             return len(turns), hashlib.sha256(said.encode()).hexdigest(), len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(own)
 
         for batch in batches:
-            for ids, nodes, leaves in zip(*(batch.column(c).to_pylist() for c in ("ids", "nodes", "leaves"))):
-                known = {n: digests(ids, nodes, n) for n in {leaf["node"] for leaf in leaves}}
-                columns = list(zip(*((leaf["conv_id"], *known[leaf["node"]]) for leaf in leaves)))
-                kinds = [id_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            for ids, nodes, leaves in zip(*(batch.column(c) for c in ("ids", "nodes", "leaves"))):
+                ids = ids.values.to_numpy()
+                stream = b"".join([table[i] for i in ids.tolist()])
+                byte = np.concatenate([[0], np.cumsum(size_of[ids])])  # where each token begins
+                of = dict(zip((f.name for f in nodes.values.type), nodes.values.flatten()))
+                parent, losses = of["parent"].to_numpy().tolist(), [*zip(*(byte[of[f].to_numpy()].tolist() for f in ("loss_start", "loss_end")))]
+                ends = of["intervals"].offsets.to_numpy()
+                own = of["intervals"].values.slice(ends[0], ends[-1] - ends[0]).flatten()  # of this pack, not of all the batch
+                ends, (lows, highs) = (ends - ends[0]).tolist(), (byte[x.to_numpy()].tolist() for x in own)
+                convs, at = leaves.values.flatten()
+                known = {-1: digests(b"", [], [])}
+                for node in at.to_numpy().tolist():
+                    if node in known:
+                        continue
+                    path, up = [], node
+                    while up >= 0:
+                        path.append(losses[up])
+                        up = parent[up]
+                    own = slice(ends[node], ends[node + 1])
+                    known[node] = digests(stream, [*zip(lows[own], highs[own])], path[::-1])
+                columns = zip(*(known[node] for node in at.to_numpy().tolist()))
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([convs.cast(id_type), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     id_type = _arrow_type(kind)
