@@ -511,6 +511,58 @@ def planted_periods(spark, sf_dir):
     return real_pool.periods(points, SamplerConfig()).join(truth, "recording").select("recording", "planted", near.alias("found"))
 
 
+_SEGMENT = "array<struct<kind:string,start:bigint,end:bigint,shift:double,peak_drift:double,level:double,n_core:bigint>>"
+
+
+@query("""SELECT family, law, TRUE AS holds FROM (SELECT unnest(['point', 'group', 'level_shift', 'variance', 'trend', 'seasonality', 'flatline']) AS family), (SELECT unnest(['labelled', 'apart', 'found', 'same_elsewhere', 'stated_size']) AS law)""")
+def injected_laws(spark, sf_dir):
+    """What holds for all anomalous series of each family, against the same series without anomalies.
+
+    labelled: the segments cover as many points as are labelled, all of them inside; apart: events keep 25 points
+    between them, spikes 5, and spikes 50 from the ends; found: z is 5 or more, but for
+    flatlines, which have no size to raise and stand at their level for as long as they say; same_elsewhere: outside the labels
+    nothing changed, inside something did; stated_size: level shifts and drifts reach what their segments say.
+    """
+    config = PoolConfig.of("S1", anomaly_rate=1.0)
+    clean = synthetic_pool.series(spark, replace(config, anomaly_rate=0.0)).select("series_id", F.col("values").alias("twin"))
+    made = synthetic_pool.series(spark, config).filter("y_i = 1").join(clean, "series_id")
+    events = F.array_sort(F.from_json("segments", _SEGMENT))
+    made = made.withColumns({"_e": events, "_d": F.zip_with("values", "twin", lambda a, b: F.abs(a - b))})
+    of = lambda f: F.aggregate("_e", F.lit(0).cast("bigint"), f)
+    inside = F.array_distinct(F.flatten(F.transform("_e", lambda e: F.slice("labels", (e["start"] + 1).cast("int"), (e["end"] - e["start"]).cast("int")))))
+    gaps = F.zip_with(F.slice("_e", 2, F.size("_e")), F.slice("_e", 1, F.size("_e") - 1), lambda b, a: b["start"] - a["end"])
+    point = F.col("anomaly_type") == "point"
+    edge = ~point | F.forall("_e", lambda e: (e["start"] >= 50) & (e["end"] <= F.col("length") - 50))
+    changed = lambda label: F.size(F.filter(F.zip_with("_d", "labels", lambda d, y: (d > 0) & (y == label)), lambda hit: hit))
+    stated = F.array_max(F.transform("_e", lambda e: F.abs(F.coalesce(e["shift"], e["peak_drift"]))))
+    flat = F.forall("_e", lambda e: F.size(F.filter(F.slice("values", (e["start"] + 1).cast("int"), (e["end"] - e["start"]).cast("int")), lambda v: F.abs(v - e["level"]) <= 1e-5)) >= e["n_core"])
+    laws = {
+        "labelled": (of(lambda n, e: n + e["end"] - e["start"]) == F.col("num_point_anomalies")) & (inside == F.array(F.lit(1).cast("tinyint"))),
+        "apart": F.coalesce(F.array_min(gaps) >= F.when(point, 5).otherwise(25), F.lit(True)) & edge, "found": F.when(F.col("anomaly_type") == "flatline", flat).otherwise(F.col("detect_z") >= 5),
+        "same_elsewhere": (changed(0) == 0) & (changed(1) > 0), "stated_size": ~F.col("anomaly_type").isin("level_shift", "trend") | (F.abs(F.array_max("_d") - stated) <= 1e-5),
+    }
+    kept = made.groupBy(F.col("anomaly_type").alias("family")).agg(*[F.every(F.coalesce(c, F.lit(False))).alias(n) for n, c in laws.items()])
+    return kept.unpivot("family", list(laws), "law", "holds")
+
+
+@query("SELECT unnest(['white_noise', 'ar1', 'ar2', 'linear_trend']) AS base, TRUE AS holds")
+def process_laws(spark, sf_dir):
+    """Whether the statistics of clean series are those of their drawn parameters.
+
+    Correlation at lag 1 is 0, phi, or phi1 / (1 - phi2), within 5 / sqrt(length); the slope of a linear trend is the
+    drawn one within 15 of its deviations in white noise, as the noise may be correlated up to 0.7.
+    """
+    params = "struct<phi:double,phi1:double,phi2:double,slope:double,sigma:double>"
+    made = synthetic_pool.series(spark, PoolConfig.of("S1", anomaly_rate=0.0)).unionByName(synthetic_pool.series(spark, replace(PoolConfig.of("S2", anomaly_rate=0.0), base_types=("linear_trend",))))
+    made = made.withColumn("_p", F.from_json("base_params", params))
+    points = made.select("series_id", "base_type", "_p", "length", F.posexplode(F.arrays_zip("values", F.concat(F.array(F.lit(None).cast("double")), F.slice("values", 1, F.col("length").cast("int") - 1)).alias("before"))).alias("t", "_v"))
+    one = points.groupBy("series_id").agg(F.first("base_type").alias("base"), F.first("_p").alias("_p"), F.first("length").alias("n"), F.corr("_v.values", "_v.before").alias("rho"), F.regr_slope(F.col("_v.values"), F.col("t").cast("double")).alias("slope"))
+    rho = F.when(F.col("base") == "ar1", F.col("_p.phi")).when(F.col("base") == "ar2", F.col("_p.phi1") / (1 - F.col("_p.phi2"))).otherwise(0.0)
+    straight = F.abs(F.col("slope") - F.col("_p.slope")) <= 15 * F.col("_p.sigma") * F.sqrt(F.lit(12.0)) / F.pow("n", F.lit(1.5))
+    holds = F.when(F.col("base") == "linear_trend", straight).otherwise(F.abs(F.col("rho") - rho) <= 5 / F.sqrt("n"))
+    return one.groupBy("base").agg(F.every(F.coalesce(holds, F.lit(False))).alias("holds"))
+
+
 # what SQL can't say
 
 
