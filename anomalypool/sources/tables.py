@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _above(rows: DataFrame, share: float) -> DataFrame:
     """label: whether the value is above that quantile of its recording."""
     limits = rows.groupBy("recording").agg(exact_percentile("value", share).alias("_limit"))
-    return rows.join(F.broadcast(limits), "recording").withColumn("label", (F.col("value") > F.col("_limit")).cast("tinyint")).select("recording", "pos", "value", "label")
+    return rows.join(limits, "recording").withColumn("label", (F.col("value") > F.col("_limit")).cast("tinyint")).select("recording", "pos", "value", "label")
 
 
 def event_series(spark: SparkSession, sf_dir: str, share: float = 0.998) -> DataFrame:
