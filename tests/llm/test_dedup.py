@@ -256,3 +256,11 @@ def test_suffix_dedup_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(4, text), (4, text), (9, text), (None, text)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["n_removed"]) for r in suffix_dedup.deduplicated(df).collect()), key=str)
     assert got == sorted([(4, 0), (4, 0), (9, len(text)), (None, 0)], key=str)
+
+
+def test_simhash_of_null_and_repeated_ids(spark):
+    said = "one two three four five six"
+    df = spark.createDataFrame([(4, said), (4, said), (None, said), (7, None), (8, ""), (9, "quite another thing to say here")], "doc_id long, text string").repartition(3)
+    got = simhash.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in got if r["doc_id"] is not None) == [("4", 4), ("4", 4), ("7", 7), ("8", 7), ("9", 9)]
+    assert [r["fingerprint"] for r in got if r["doc_id"] is None] == [r["fingerprint"] for r in got if r["doc_id"] == 4][:1]

@@ -59,3 +59,23 @@ def test_stages(spark, tmp_path):
     assert packed.groupby("doc_id").length.sum().to_dict() == {i: len(encoder.ids(t)) + 1 for i, t in zip(cut.doc_id, cut.text)}
     whole = corpus_pipeline.run(spark, sf).toPandas()
     assert sorted(zip(whole.doc_id, whole.piece, whole.ids_crc32)) == sorted(zip(packed.doc_id, packed.piece, packed.ids_crc32))
+
+
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, one very long: nothing crashes, and columns stay."""
+    said = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, said, "en", "a", 1), (1, said, "en", "a", 1), (None, said, "en", "a", 1), (None, None, None, None, None), (2, None, None, None, None), (3, "", None, None, 0), (5, " ".join(map(str, range(100_000))), "en", "b", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        found = stage(spark, docs, str(tmp_path))
+        if name != "best-fit packing":
+            assert empty.columns == found.columns == docs.columns
+        ids = [r["doc_id"] for r in found.collect()]
+        assert 5 in ids and 1 in ids
+        if name == "quality rules":
+            assert sorted(ids, key=str) == [1, 1, 5, None]  # the empty ones fail the base rules
+        if name == "suffix-array dedup":
+            assert len(ids) == len(rows)

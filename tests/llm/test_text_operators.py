@@ -139,6 +139,20 @@ def test_packing(spark, odd, library):
     got = got.sort_values(["sequence_id", "offset"])
     assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all() and got.groupby("sequence_id").length.sum().max() <= 64
     assert packing.pack(odd.limit(0), V).count() == 0
+    everything = packing.pack(odd, V)  # the null id and the repeated one included
+    rows = everything.collect()
+    ends = {d: sum(r["length"] for r in rows if r["doc_id"] == d) for d in {r["doc_id"] for r in rows}}
+    assert ends[None] == len(library.encode("no id at all", add_special_tokens=False).ids) + 1 and ends[5] == 2 * (len(library.encode(TEXTS[5], add_special_tokens=False).ids) + 1)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= 1 + 1.1 * sum(ends.values()) / 1024
 
 
 @given(st.text(alphabet="ab <|im_start|>\\[INST]/</s>\n", max_size=40))
