@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..config import PoolConfig, SamplerConfig
 from ..functions import scalars
 from ..operators import chunks, cleaning, compose, explore, metrics, profile, runs, scan, validate
-from ..sources import tables
-from ..sources.scratch import written
+from ..sources import pools, raw, tables
+from ..sources.scratch import folder, written
 from ..streaming import replay
 from . import agent, real_pool, synthetic_pool
 
@@ -563,6 +563,31 @@ def process_laws(spark, sf_dir):
     return one.groupBy("base").agg(F.every(F.coalesce(holds, F.lit(False))).alias("holds"))
 
 
+@query(f"""WITH {_EVENTS}, f AS (SELECT recording, pos AS p, label, last_value(CASE WHEN pos % 7 >= 2 THEN value END IGNORE NULLS) OVER (PARTITION BY recording ORDER BY pos ROWS UNBOUNDED PRECEDING) AS value FROM points)
+SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY p) - 1 AS pos, value, label FROM f WHERE value IS NOT NULL""")
+def raw_files(spark, sf_dir):
+    """Events as raw CSV files, one a recording, with padded headings, cells that are no number and labels above 1, read back."""
+    points = tables.event_series(spark, sf_dir)
+    cell = F.when(F.col("pos") % 7 >= 2, F.col("value").cast("string")).otherwise("n/a")
+    cells = points.repartition("recording").sortWithinPartitions("recording", "pos").select("recording", cell.alias(" DATA "), (F.col("label") * 3).alias("Label"))
+    where = folder(spark, "raw-files")
+    cells.write.mode("overwrite").partitionBy("recording").option("header", True).csv(where)
+    read = raw.raw_points(spark, where)
+    return read.select(F.regexp_replace("dataset", "^recording=", "").alias("recording"), "pos", "value", F.col("label").cast("int").alias("label"))
+
+
+@query(f"WITH {_PRICES}, {_SLOTS}, {_REFERENCE}, {_JUDGED}, {_META} SELECT series_id, length, num_point_anomalies, length AS points, num_point_anomalies AS labelled, length * (length - 1) // 2 AS places FROM kept")
+def pool_files(spark, sf_dir):
+    """A pool written, and what is found in its files."""
+    points = _prices(spark, sf_dir)
+    kept = written(chunks.samples(points, KNOBS, "R", F.lit("lineitem")), "kept")
+    where = folder(spark, "pool-files")
+    pools.write_pool(chunks.sample_points(points, kept), kept.select("series_id", "length", "num_point_anomalies"), where, "R")
+    found, metadata = pools.load_pool(spark, where, "R")
+    held = found.groupBy("series_id").agg(F.count("*").alias("points"), F.sum("label").alias("labelled"), F.sum("time_index").alias("places"))
+    return metadata.join(held, "series_id")
+
+
 # what SQL can't say
 
 

@@ -30,16 +30,23 @@ def _place(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder within the shared one, for files that go when the driver's JVM ends."""
+    path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    where, files = _place(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written once into the shared folder and read back, so that lineage ends here: what follows neither recomputes it nor depends on how it was dealt.
 
     The files go with forget(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where, files = _place(spark, path)
-    files.deleteOnExit(where)
+    path = folder(spark, label)
+    df.write.mode("overwrite").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch_path = path
     return back
