@@ -567,11 +567,11 @@ def process_laws(spark, sf_dir):
 SELECT recording, row_number() OVER (PARTITION BY recording ORDER BY p) - 1 AS pos, value, label FROM f WHERE value IS NOT NULL""")
 def raw_files(spark, sf_dir):
     """Events as raw CSV files, one a recording, with padded headings, cells that are no number and labels above 1, read back."""
-    points = tables.event_series(spark, sf_dir)
+    points = written(tables.event_series(spark, sf_dir), "events")  # else the join before stands for repartition(), and may deal a recording to several tasks
     cell = F.when(F.col("pos") % 7 >= 2, F.col("value").cast("string")).otherwise("n/a")
     cells = points.repartition("recording").sortWithinPartitions("recording", "pos").select("recording", cell.alias(" DATA "), (F.col("label") * 3).alias("Label"))
     where = folder(spark, "raw-files")
-    cells.write.mode("overwrite").partitionBy("recording").option("header", True).csv(where)
+    cells.write.mode("overwrite").partitionBy("recording").option("header", True).option("maxRecordsPerFile", 0).csv(where)
     read = raw.raw_points(spark, where)
     return read.select(F.regexp_replace("dataset", "^recording=", "").alias("recording"), "pos", "value", F.col("label").cast("int").alias("label"))
 

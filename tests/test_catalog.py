@@ -57,3 +57,21 @@ def test_queries_of_pools_run_at_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(catalog.real_pool, "build", lambda points, group, config: seen.append(config) or {"metadata": points})
     catalog.QUERIES["compose_split"](spark, SF)
     assert [c.pool_size for c in seen] == [2900]
+
+
+def test_raw_files_hold_whole_recordings(spark, sql, monkeypatch):
+    """Where a join by recording has just dealt the points and splits its large partitions, so that repartition() by recording counts as done."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    own |= {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0.1"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    points = catalog.written(catalog.tables.event_series(spark, SF).repartition(8), "points")
+    names = catalog.written(points.select("recording").distinct(), "names")
+    monkeypatch.setattr(catalog.tables, "event_series", lambda *_: points.join(names, "recording"))
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = rows(catalog.QUERIES["raw_files"](spark, SF).toPandas())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == rows(sql.sql(catalog.ORACLE_SQL["raw_files"]).df())
