@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ..functions.scalars import is_whole, machine_of, round_binary
 from ..kernels.legacy import Cutter
 from ..kernels.signal import detect_period
 from ..operators import chunks, compose, validate
+from ..operators.order import by_key
 from ..sources.pools import write_document, write_pool
 from ..sources.scratch import written
 
@@ -21,12 +25,11 @@ _LEGACY = "dataset string, recording string, sample string, start bigint, length
 def periods(points: DataFrame, config: SamplerConfig, key: str = "recording") -> DataFrame:
     """(recording, period): the detector sees one recording at a time, in order; short ones have none."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("pos")["value"].to_numpy()
-        found = detect_period(x, config) if len(x) >= config.min_length_for_period else None
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "period": pd.array([found], dtype="Int32")})
+    def one(own: tuple, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = detect_period(x, config, overwrite=True) if len(x) >= config.min_length_for_period else None
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([found], pa.int32())], names=[key, "period"])
 
-    return points.select(key, "pos", "value").groupBy(key).applyInPandas(one, f"{key} string, period int")
+    return by_key(points, [key], ["pos"], ["value"], one, f"{key} string, period int")
 
 
 def legacy_samples(points: DataFrame, config: SamplerConfig) -> DataFrame:

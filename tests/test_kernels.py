@@ -1,5 +1,7 @@
 """Kernels on inputs whose answer is known, and against plain versions."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -109,3 +111,39 @@ def test_sampler_settings_are_checked(wrong):
 def test_pool_settings_are_checked(wrong):
     with pytest.raises(ValueError):
         PoolConfig(**wrong)
+
+
+@pytest.mark.parametrize("legacy", [False, True])
+def test_period_detection_holds_little_beside_a_long_series(monkeypatch, legacy):
+    """Once the transform of all of it and the table for its line took many times its size."""
+    monkeypatch.setattr(signal, "SPAN", 1 << 14)
+    n = 1_000_003
+    x = np.random.default_rng(1).normal(size=n) + 2 * np.sin(2 * np.pi * np.arange(n) / 60)
+    tracemalloc.start()
+    found = signal.detect_period(x, SamplerConfig(legacy=legacy))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 60 and peak < 2.5 * x.nbytes
+
+
+@pytest.mark.parametrize("span", [64, 700, 4096])
+def test_spans_of_a_series_give_what_all_of_it_gives(monkeypatch, span):
+    rng = np.random.default_rng(3)
+    for n in (997, 2500):
+        x = rng.normal(size=n) + np.sin(2 * np.pi * np.arange(n) / 60)
+        ties = rng.integers(0, 3, n).astype(float)
+        power = np.abs(np.fft.rfft(x, 2 * n)) ** 2
+        acf = np.fft.irfft(power, 2 * n)
+        configs = SamplerConfig(), SamplerConfig(legacy=True)
+        with monkeypatch.context() as m:
+            m.setattr(signal, "SPAN", 1 << 18)
+            whole = [signal.detect_period(x, c) for c in configs]
+        with monkeypatch.context() as m:
+            m.setattr(signal, "SPAN", span)
+            band, found = signal._spectrum(x, 300, 5, 900)
+            assert np.allclose(band, power[5:901], atol=1e-8) and np.allclose(found, acf[:300] / acf[0], atol=1e-12)
+            assert [signal.detect_period(x, c) for c in configs] == whole
+            assert signal._correlation(x, 7) == pytest.approx(np.corrcoef(x[:-7], x[7:])[0, 1], rel=1e-12)
+            for v in (x, ties, np.sort(x), np.append(x, np.inf)):
+                assert signal._median(v) == np.median(v) and signal._median(v, 0.3) == np.median(np.abs(v - 0.3))
+            assert np.isnan(signal._median(np.append(x, np.nan)))

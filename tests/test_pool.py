@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,6 +118,22 @@ def test_pool_from_recordings(spark, points, tmp_path, legacy):
         assert set(meta.split) <= {"dev", "test"}
 
 
+def test_rows_of_a_key_come_together_and_in_order(spark):
+    """Keys over several batches and tasks, and null ones."""
+    made = {("D", "a"): 25_000, ("D", "b"): 3, ("E", "a"): 11_000, ("E", None): 7, (None, "a"): 5}
+    rows = pd.DataFrame([(*k, i, float(i)) for k, n in made.items() for i in range(n)], columns=["dataset", "recording", "pos", "value"])
+    df = spark.createDataFrame(rows.sample(frac=1, random_state=1).astype(object).where(rows.notna(), None), "dataset string, recording string, pos long, value double").repartition(7)
+
+    def kernel(key, pos, value):
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.string()), pa.array([len(pos)]), pa.array([bool((pos == np.arange(len(pos))).all() and (value == pos).all())])], names=["d", "r", "n", "ordered"])
+
+    names = df.select("dataset", "recording").distinct()
+    joined = df.join(names.hint("shuffle_merge"), df.dataset.eqNullSafe(names.dataset) & df.recording.eqNullSafe(names.recording)).select(df["*"])
+    for points in (df, joined):
+        got = order.by_key(points, ["dataset", "recording"], ["pos"], ["pos", "value"], kernel, "d string, r string, n long, ordered boolean").collect()
+        assert {(x["d"], x["r"]): x["n"] for x in got} == made and len(got) == len(made) and all(x["ordered"] for x in got)
+
+
 BREAKS = {
     "unique_series": lambda p, m: (p, m.union(m.limit(1))), "finite_values": lambda p, m: (p.withColumn("value", F.when(F.col("time_index") == 1, float("inf")).otherwise(F.col("value"))), m),
     "binary_labels": lambda p, m: (p.withColumn("label", F.when(F.col("time_index") == 1, 2).otherwise(F.col("label")).cast("tinyint")), m), "metadata_has_data": lambda p, m: (p.filter("series_id <> 'a'"), m),
