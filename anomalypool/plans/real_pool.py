@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..config import SamplerConfig
 from ..functions.scalars import is_whole, machine_of, round_binary
@@ -20,6 +21,7 @@ from ..sources.pools import write_document, write_pool
 from ..sources.scratch import written
 
 _LEGACY = "dataset string, recording string, sample string, start bigint, length bigint, num_point_anomalies bigint, y_i int, is_split boolean, original_length bigint, source_notes string, period_detected int, is_representative boolean, anomaly_ratio double, positions array<bigint>"
+POSITIONS = 1 << 19  # of samples that leave a task at once
 
 
 def periods(points: DataFrame, config: SamplerConfig, key: str = "recording") -> DataFrame:
@@ -34,20 +36,27 @@ def periods(points: DataFrame, config: SamplerConfig, key: str = "recording") ->
 
 def legacy_samples(points: DataFrame, config: SamplerConfig) -> DataFrame:
     """Samples the older way, with the positions of their points."""
+    kinds = to_arrow_schema(_parse_datatype_string(_LEGACY))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        x, y = pdf["value"].to_numpy(), pdf["label"].to_numpy()
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), kinds)], schema=kinds)
+
+    def one(own: tuple, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         found = detect_period(x, config) if len(x) >= config.min_length_for_period else None
-        rows = []
+        rows, held = [], 0
         for cut in Cutter(x, y, found, config).cuts():
             at = cut.positions()
             n, marked = len(at), int(y[at].sum())
             said = ";".join([*([f"period={found}"] if found else []), *cut.notes])
-            rows.append((pdf["dataset"].iloc[0], pdf["recording"].iloc[0], cut.name, cut.start, n, marked, int(marked > 0), cut.split, len(x), said, found, True, marked / n, at.tolist()))
-        return pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _LEGACY.split(", ")]).astype({"period_detected": "Int32"})
-
-    return points.groupBy("dataset", "recording").applyInPandas(one, _LEGACY)
+            rows.append((*own, cut.name, cut.start, n, marked, int(marked > 0), cut.split, len(x), said, found, True, marked / n, at))
+            held += n
+            if held >= POSITIONS:
+                yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
+
+    return by_key(points, ["dataset", "recording"], ["pos"], ["value", "label"], one, _LEGACY)
 
 
 def build(points: DataFrame, group: str, config: SamplerConfig = SamplerConfig(), find_periods: bool = True) -> dict:

@@ -126,6 +126,16 @@ def test_period_detection_holds_little_beside_a_long_series(monkeypatch, legacy)
     assert found == 60 and peak < 2.5 * x.nbytes
 
 
+def test_cutter_holds_little_beside_a_long_series():
+    x, y = np.random.default_rng(2).normal(size=1_000_003), np.zeros(1_000_003, np.int8)
+    y[::700] = 1
+    tracemalloc.start()
+    Cutter(x, y, None, SamplerConfig(legacy=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * x.nbytes
+
+
 @pytest.mark.parametrize("span", [64, 700, 4096])
 def test_spans_of_a_series_give_what_all_of_it_gives(monkeypatch, span):
     rng = np.random.default_rng(3)

@@ -134,6 +134,15 @@ def test_rows_of_a_key_come_together_and_in_order(spark):
         assert {(x["d"], x["r"]): x["n"] for x in got} == made and len(got) == len(made) and all(x["ordered"] for x in got)
 
 
+def test_samples_of_the_older_way_leave_in_parts(points, monkeypatch):
+    config = SamplerConfig(**{**CONFIG.__dict__, "legacy": True, "legacy_chunk_max": 200})
+    made = []
+    for size in (real_pool.POSITIONS, 1):
+        monkeypatch.setattr(real_pool, "POSITIONS", size)
+        made.append(sorted(real_pool.legacy_samples(points, config).collect()))
+    assert made[0] == made[1] and all(len(r["positions"]) == r["length"] for r in made[0]) and len(made[0]) > 12
+
+
 BREAKS = {
     "unique_series": lambda p, m: (p, m.union(m.limit(1))), "finite_values": lambda p, m: (p.withColumn("value", F.when(F.col("time_index") == 1, float("inf")).otherwise(F.col("value"))), m),
     "binary_labels": lambda p, m: (p.withColumn("label", F.when(F.col("time_index") == 1, 2).otherwise(F.col("label")).cast("tinyint")), m), "metadata_has_data": lambda p, m: (p.filter("series_id <> 'a'"), m),
