@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -22,8 +23,9 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
-LOW, NEVER = (1 << 32) - 1, 1 << 80
+LOW, NEVER, NO_RANK = (1 << 32) - 1, 1 << 80, 1 << 30
 CHUNK_CACHE = 150_000
+LITTLE = [f"<{n}I" for n in range(25)]
 READ = 256  # bytes that the transducer reads at a time
 
 
@@ -52,9 +54,16 @@ class Merges:
         self.byte_id = [0] * 256
         for c, b in symbols.items():
             self.byte_id[b] = vocab[c]
+        self.first_ids = np.array(self.byte_id)
         self.pairs: dict[int, int] = {}  # the ids of both in one number -> rank and id made in one number
         for rank, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]):
             self.pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        pairs = np.array([(k >> 32) * self.size + (k & LOW) for k in self.pairs] + [1 << 62])  # the last is above all
+        ranks = np.array([v >> 32 for v in self.pairs.values()] + [NO_RANK])
+        by_pair = np.argsort(pairs)
+        self.sorted_pairs, self.sorted_ranks = pairs[by_pair], ranks[by_pair]
+        self.made = np.zeros(len(spec["model"]["merges"]) + 1, np.int64)
+        self.made[ranks[:-1]] = [v & LOW for v in self.pairs.values()]
         self.need = self._needs()
         self.lookahead = max(self.need)
 
@@ -92,6 +101,58 @@ class Merges:
                 ranks[i] = get(made << 32 | ids[i + 1], NEVER)
         return ids
 
+    def settled(self, waiting: bytes, ids: list[int]) -> tuple[int, int]:
+        """How many of the first ids that bytes make no later byte can change, and how many bytes those have."""
+        need, bytes_of, read, end, done, n = self.need, self.bytes_of, len(waiting), 0, 0, 0
+        for i in ids:
+            end += len(bytes_of[i])
+            if end + need[i] > read:
+                break
+            n, done = n + 1, end
+        return n, done
+
+    def _look(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids; NO_RANK where they don't merge."""
+        pair = left * self.size + right
+        at = np.searchsorted(self.sorted_pairs, pair)
+        return np.where(self.sorted_pairs[at] == pair, self.sorted_ranks[at], NO_RANK)
+
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """merge() of each, all a step at a time together. Those that are done leave."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids, owner = self.first_ids[np.frombuffer(b"".join(pieces), np.uint8)], np.flatnonzero(sizes)
+        n = sizes[owner]
+        rank = np.full(len(ids), NO_RANK)
+        rank[:-1] = self._look(ids[:-1], ids[1:])
+        rank[np.cumsum(n) - 1] = NO_RANK
+        left_ids, left_owners = [ids[:0]], [owner[:0]]
+        while len(owner):
+            begin = np.cumsum(n) - n
+            least = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), begin)
+            at, best = least & LOW, least >> 32
+            go = best < NO_RANK
+            stay = np.ones(len(ids), bool)
+            if not go.all():
+                gone = np.repeat(~go, n)
+                left_ids.append(ids[gone]), left_owners.append(np.repeat(owner[~go], n[~go]))
+                stay[gone] = False
+                at, best, n, owner = at[go], best[go], n[go], owner[go]
+            at = at - begin[go]
+            stay[at + begin[go] + 1] = False
+            ids[at + begin[go]] = self.made[best]
+            ids, rank, n = ids[stay], rank[stay], n - 1
+            begin = np.cumsum(n) - n
+            rank[begin + n - 1] = NO_RANK
+            inner = at < n - 1
+            i = (begin + at)[inner]
+            rank[i] = self._look(ids[i], ids[i + 1])
+            i = (begin + at)[at > 0]
+            rank[i - 1] = self._look(ids[i - 1], ids[i])
+        owner = np.concatenate(left_owners)
+        flat = np.concatenate(left_ids)[np.argsort(owner, kind="stable")].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
 
 class Transducer:
     """Bytes in, ids out, each as soon as no later byte can change it."""
@@ -104,12 +165,7 @@ class Transducer:
         m = self.merges
         waiting = self.waiting + data if self.waiting else data
         ids = m.merge(waiting)
-        need, bytes_of, read, end, done, n = m.need, m.bytes_of, len(waiting), 0, 0, 0
-        for i in ids:
-            end += len(bytes_of[i])
-            if end + need[i] > read:
-                break
-            n, done = n + 1, end
+        n, done = m.settled(waiting, ids)
         self.waiting, self.open = waiting[done:], ids[n:]
         return ids[:n]
 
@@ -126,6 +182,29 @@ class Transducer:
         yield from self.close()
 
 
+class Transducers:
+    """A transducer for each of many inputs, which read and merge together."""
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+
+    def whole(self, pieces: list[bytes], read: int = READ) -> list[list[int]]:
+        """The ids of each input."""
+        out: list[list[int]] = [[] for _ in pieces]
+        going, waiting, at = range(len(pieces)), [piece[:read] for piece in pieces], read
+        while going:
+            made = self.merges.merge_all(waiting)
+            more = []
+            for i, held, ids in zip(going, waiting, made):
+                if len(pieces[i]) > at:
+                    n, done = self.merges.settled(held, ids)
+                    ids = ids[:n]
+                    more.append((i, held[done:] + pieces[i][at : at + read]))
+                out[i] += ids
+            going, waiting, at = [i for i, _ in more], [held for _, held in more], at + read
+        return out
+
+
 @lru_cache(maxsize=4)
 def load_merges(path: str) -> Merges:
     return Merges(path)
@@ -147,82 +226,98 @@ def segments(text: str, size: int = 1 << 16) -> Iterator[str]:
 
 def as_bytes(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit numbers."""
-    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 64 else b"".join([i.to_bytes(4, "little") for i in ids])
+    return np.array(ids, dtype="<u4").tobytes() if len(ids) > 24 else struct.pack(LITTLE[len(ids)], *ids)
 
 
 def as_bytes_and_decimals(ids: list[int]) -> tuple[bytes, str]:
     return as_bytes(ids), ",".join(map(str, ids))
 
 
+def _empty(found: list) -> Iterator[int]:
+    """Where a list has None."""
+    i = -1
+    try:
+        while True:
+            yield (i := found.index(None, i + 1))
+    except ValueError:
+        return
+
+
 class Encoder:
     """Text to ids, chunk by chunk, each chunk's ids in the form that render() gives them.
 
     A chunk is what lies between such cuts as segments() uses, or else a pre-token; a bounded memory of recent chunks
-    saves most of the work. encode_chunks encodes those that are not in memory: the transducer by default.
+    saves most of the work. encode_chunks encodes those that are not in memory: the transducers by default.
     """
 
     def __init__(self, merges: Merges, encode_chunks: Callable[[list[str]], list[list[int]]] | None = None, render: Callable[[list[int]], object] = as_bytes, memory: int = CHUNK_CACHE) -> None:
-        self.merges, self.memory, self.render, self.transducer = merges, memory, render, Transducer(merges)
+        self.merges, self.memory, self.render, self.transducers = merges, memory, render, Transducers(merges)
         self.encode_chunks = encode_chunks or self._transduce
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.uneven = regex.compile(r"\s | \s")
         self.spaced: list[dict[str, object]] = [{}, {}]  # chunks behind a space, which is left out of the key: young, old
         self.plain: list[dict[str, object]] = [{}, {}]  # all others
-        self.pieces: dict[str, list[int]] = {}  # the transducer's recent pre-tokens
+        self.pieces: dict[str, tuple[int, ...]] = {}  # the transducers' recent pre-tokens
 
     def _transduce(self, chunks: list[str]) -> list[list[int]]:
-        known, whole, out = self.pieces, self.transducer.whole, []
-        for chunk in chunks:
-            ids: list[int] = []
-            for piece in self.split.findall(chunk):
-                found = known.get(piece)
-                if found is None:
-                    found = list(whole(piece.encode()))
-                    if len(piece) <= 64:
-                        if len(known) >= self.memory:
-                            known.clear()
-                        known[piece] = found
-                ids += found
-            out.append(ids)
+        known, split = self.pieces, list(map(self.split.findall, chunks))
+        if len(known) >= self.memory:
+            known.clear()
+        fresh = list(dict.fromkeys([p for pieces in split for p in pieces if p not in known]))
+        made = dict(zip(fresh, map(tuple, self.transducers.whole([p.encode() for p in fresh]))))  # tuples of numbers are nothing that the collector of cycles looks at again
+        known.update(made)
+        out = [known[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in known[p]] for pieces in split]
+        for p in fresh:
+            if len(p) > 64:
+                del known[p]
         return out
 
-    def _lookup(self, keys: list[str], memory: list[dict[str, object]], lead: str) -> list:
-        young, old = memory
-        found = list(map(young.get, keys))
-        if None not in found:
-            return found
+    def _fill(self, asked: list[tuple[list[str], list | None, str]]) -> list[list]:
+        """What render() makes of chunks, in lists of (chunks, their memory, what is before each); without a memory they are that already."""
+        filled, missing = [], []
         fresh: dict[str, object] = {}
-        for i, x in enumerate(found):
-            if x is None:
-                x = old.get(keys[i])
+        for keys, memory, lead in asked:
+            if memory is None:
+                filled.append(keys)
+                continue
+            young, old = memory
+            found = list(map(young.get, keys))
+            for i in _empty(found):
+                key = keys[i]
+                x = old.get(key)
                 if x is None:
-                    fresh[keys[i]] = None
+                    name = lead + key
+                    fresh[name] = None
+                    missing.append((found, i, name, key, young))
                 else:
-                    young[keys[i]] = found[i] = x
+                    young[key] = found[i] = x
+            filled.append(found)
         if fresh:
             names = list(fresh)
-            for name, ids in zip(names, self.encode_chunks([lead + n for n in names] if lead else names)):
-                fresh[name] = made = self.render(ids)
-                if len(name) <= 64:
-                    young[name] = made
-            found = [fresh[keys[i]] if x is None else x for i, x in enumerate(found)]
-        if len(young) > self.memory:
-            memory[0], memory[1] = {}, young
-        return found
-
-    def _ordinary(self, text: str) -> Iterator[list]:
-        """The ids of a text without special tokens, part by part."""
+            fresh = dict(zip(names, map(self.render, self.encode_chunks(names))))
+            for found, i, name, key, young in missing:
+                found[i] = made = fresh[name]
+                if len(key) <= 64:
+                    young[key] = made
+        for memory in (self.spaced, self.plain):
+            if len(memory[0]) > self.memory:
+                memory[0], memory[1] = {}, memory[0]
+        return filled
+
+    def _ordinary(self, text: str) -> Iterator[tuple]:
+        """The chunks of a text without special tokens, part by part, as _fill() takes them."""
         for part in segments(text):
             if self.uneven.search(part):
-                yield self._lookup(self.split.findall(part), self.plain, "")
+                yield self.split.findall(part), self.plain, ""
                 continue
             first, *rest = part.split(" ")
-            head = self._lookup([first], self.plain, "") if first else []
-            yield head + self._lookup(rest, self.spaced, " ") if rest else head
+            if first:
+                yield [first], self.plain, ""
+            if rest:
+                yield rest, self.spaced, " "
 
-    def parts(self, text: str) -> Iterator[list]:
-        """The ids of text, in lists of what render() makes; a special token's string is that token, as the tokenizers library reads it."""
+    def _asked(self, text: str) -> Iterator[tuple]:
         if not text:
             return
         if self.special is None or not self.special.search(text):
@@ -232,11 +327,37 @@ class Encoder:
         for m in self.special.finditer(text):
             if m.start() > at:
                 yield from self._ordinary(text[at : m.start()])
-            yield [self.render([self.merges.special[m[0]]])]
+            yield [self.render([self.merges.special[m[0]]])], None, ""
             at = m.end()
         if at < len(text):
             yield from self._ordinary(text[at:])
 
+    def parts(self, text: str) -> Iterator[list]:
+        """The ids of text, in lists of what render() makes; a special token's string is that token, as the tokenizers library reads it."""
+        for asked in self._asked(text):
+            yield from self._fill([asked])
+
+    def many(self, texts: Iterable[str], size: int = 1 << 19) -> Iterator[Iterable[list]]:
+        """parts() of each text. Chunks of texts that have size characters together are encoded together; longer texts go part by part."""
+        held, n = [], 0
+
+        def out() -> Iterator[Iterable[list]]:
+            filled = iter(self._fill([x for asked in held for x in asked]))
+            for asked in held:
+                yield [next(filled) for _ in asked]
+
+        for text in texts:
+            if n + len(text) > size and held:
+                yield from out()
+                held, n = [], 0
+            if len(text) > size:
+                yield self.parts(text)
+            else:
+                held.append(list(self._asked(text)))
+                n += len(text)
+        if held:
+            yield from out()
+
     def ids(self, text: str) -> np.ndarray:
         """With as_bytes: all ids as an array."""
         return np.frombuffer(b"".join(x for part in self.parts(text) for x in part), dtype="<u4")

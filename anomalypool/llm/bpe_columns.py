@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,15 @@ from .bpe import Decoder, Encoder, as_bytes_and_decimals, load_merges
 from .common import byte_list, per_batch
 
 
+RECENT = 400_000  # chunks in memory, twice
+
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    """One a worker process, whatever the number of its tasks."""
+    return Encoder(load_merges(vocabulary), render=as_bytes_and_decimals, memory=RECENT)
+
+
 def encode_column(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>: the whole text of every row encoded. Null texts count as empty and have no ids; rows are neither merged nor lost."""
 
@@ -57,12 +68,11 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     """
 
     def make():
-        merges = load_merges(vocabulary)
-        encoder = Encoder(merges, render=as_bytes_and_decimals)
+        merges, encoder = load_merges(vocabulary), _encoder(vocabulary)
 
-        def digests(raw: bytes) -> tuple[int, str, str]:
+        def digests(parts: Iterable[list]) -> tuple[int, str, str]:
             n, ids_sha, text_sha, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(merges)
-            for part in encoder.parts(raw.decode("utf-8", "replace")):
+            for part in parts:
                 if not part:
                     continue
                 packed, decimals = zip(*part)
@@ -74,7 +84,11 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
             return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
         def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
-            n, a, b = zip(*map(digests, byte_list(batch.column(1))))
+            gc.disable()  # nothing here refers to itself, and the collector would go through the encoder's memory again and again
+            try:
+                n, a, b = zip(*map(digests, encoder.many(b.decode("utf-8", "replace") for b in byte_list(batch.column(1)))))
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return step

@@ -44,6 +44,29 @@ def test_bpe_equals_the_library(library):
         assert "".join([*(decoder.feed([i]) for i in want), decoder.feed((), True)]) == library.decode(want, skip_special_tokens=False)
 
 
+@given(st.lists(st.one_of(st.binary(max_size=60), st.text(alphabet="abcdehinorst .,-='/ ", max_size=60).map(str.encode)), max_size=9), st.integers(1, 9), st.integers(1, 40))
+@settings(max_examples=150, deadline=None)
+def test_many_transducers_equal_one_each(raws, times, read):
+    m = bpe.load_merges(V)
+    raws = [raw * times for raw in raws]
+    assert m.merge_all(raws) == bpe.Transducers(m).whole(raws, read) == [m.merge(raw) for raw in raws]
+
+
+def test_texts_are_encoded_together(monkeypatch):
+    """One call for the pre-tokens of all of them, with what is in memory, what is too long for it, special tokens and parts of long texts."""
+    rng, calls = random.Random(6), []
+    words = ["the", "x" * 99, "<|endoftext|>", "\n\n", "", "é日", "don't", *("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))]
+    texts = ["", *(" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(50))]
+    one, own = bpe.Encoder(bpe.load_merges(V)), bpe.Encoder(bpe.load_merges(V), memory=20)
+    want = [one.ids(t).tolist() for t in texts]
+    merge_all = bpe.Merges.merge_all
+    monkeypatch.setattr(bpe.Merges, "merge_all", lambda self, pieces: calls.append(len(pieces)) or merge_all(self, pieces))
+    for size, most in ((1 << 19, 1), (600, 51), (0, 10_000)):
+        calls.clear()
+        assert [np.frombuffer(b"".join(x for part in parts for x in part), dtype="<u4").tolist() for parts in own.many(texts, size)] == want
+        assert len(calls) <= most
+
+
 @given(st.one_of(st.binary(max_size=300), st.text(alphabet="abcdehinorst .,-='/ ", max_size=300).map(str.encode)), st.integers(1, 20), st.integers(1, 9))
 @settings(max_examples=200, deadline=None)
 def test_the_transducer_equals_the_whole(raw, read, times):
