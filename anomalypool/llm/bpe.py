@@ -255,7 +255,7 @@ class Encoder:
         self.encode_chunks = encode_chunks or self._transduce
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
-        self.uneven = regex.compile(r"\s | \s")
+        self.uneven = regex.compile(r" (?:\s|(?<=\s ))")  # white space beside a space
         self.spaced: list[dict[str, object]] = [{}, {}]  # chunks behind a space, which is left out of the key: young, old
         self.plain: list[dict[str, object]] = [{}, {}]  # all others
         self.pieces: dict[str, tuple[int, ...]] = {}  # the transducers' recent pre-tokens

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,14 @@ from .bpe import Encoder, load_merges, ranked_chunks
 from .common import byte_list, materialise, per_batch
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
+RECENT = 600_000  # chunks in memory, twice
+
+
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str) -> Encoder:
+    """One a worker process, whatever the number of its tasks."""
+    merges = load_merges(vocabulary)
+    return Encoder(merges, ranked_chunks(merges), memory=RECENT)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -87,8 +96,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int
     rows = docs.select(F.col(id_col), F.col(text_col))
 
     def make():
-        merges = load_merges(vocabulary)
-        encoder = Encoder(merges, ranked_chunks(merges))
+        encoder = _encoder(vocabulary)
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
 
         def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:

@@ -385,3 +385,18 @@ def test_fingerprint_bit_by_bit():
     assert simhash.fingerprint(simhash.shingle_hashes(text.encode())) == want
     assert simhash.fingerprint(simhash.shingle_hashes(b"one two")) == xxhash.xxh64_intdigest(b"one two", 42)
     assert simhash.fingerprint(simhash.shingle_hashes(b" \n")) == 0
+
+
+@pytest.mark.parametrize("module", [packing, bpe_columns])
+def test_tasks_of_a_worker_share_what_they_have_encoded(module, monkeypatch):
+    text, calls = "one task after another\n\nmeets the same chunks", []
+    first = module._encoder(V)
+    want = list(first.parts(text))
+    monkeypatch.setattr(first, "encode_chunks", lambda chunks: calls.append(chunks))
+    assert list(module._encoder(V).parts(text)) == want and not calls
+
+
+@given(st.text(alphabet="ab \n\t\x85\x1c\u3000", max_size=12))
+def test_white_space_beside_a_space_is_seen(text):
+    encoder = packing._encoder(V)
+    assert bool(encoder.uneven.search(text)) == bool(bpe.regex.search(r"\s | \s", text))
