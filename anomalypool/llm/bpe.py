@@ -13,8 +13,10 @@ from __future__ import annotations
 import codecs
 import json
 import struct
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -25,6 +27,7 @@ PRINTABLE = (range(0x21, 0x7F), range(0xA1, 0xAD), range(0xAE, 0x100))
 
 LOW, NEVER, NO_RANK = (1 << 32) - 1, 1 << 80, 1 << 30
 CHUNK_CACHE = 150_000
+UNSPLIT = 1 << 19  # characters that the tiktoken library may split: it panics at a run of a million of white space
 LITTLE = [f"<{n}I" for n in range(25)]
 READ = 256  # bytes that the transducer reads at a time
 
@@ -247,11 +250,12 @@ class Encoder:
     """Text to ids, chunk by chunk, each chunk's ids in the form that render() gives them.
 
     A chunk is what lies between such cuts as segments() uses, or else a pre-token; a bounded memory of recent chunks
-    saves most of the work. encode_chunks encodes those that are not in memory: the transducers by default.
+    saves most of the work. encode_chunks encodes those that are not in memory: the transducers by default. With
+    encode_part, what lies between the cuts of segments() is encoded as it is, and nothing is kept in memory.
     """
 
-    def __init__(self, merges: Merges, encode_chunks: Callable[[list[str]], list[list[int]]] | None = None, render: Callable[[list[int]], object] = as_bytes, memory: int = CHUNK_CACHE) -> None:
-        self.merges, self.memory, self.render, self.transducers = merges, memory, render, Transducers(merges)
+    def __init__(self, merges: Merges, encode_chunks: Callable[[list[str]], list[list[int]]] | None = None, render: Callable[[list[int]], object] = as_bytes, memory: int = CHUNK_CACHE, encode_part: Callable[[str], list[int] | array] | None = None) -> None:
+        self.merges, self.memory, self.render, self.encode_part, self.transducers = merges, memory, render, encode_part, Transducers(merges)
         self.encode_chunks = encode_chunks or self._transduce
         self.split = regex.compile(PATTERN)
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
@@ -308,6 +312,9 @@ class Encoder:
     def _ordinary(self, text: str) -> Iterator[tuple]:
         """The chunks of a text without special tokens, part by part, as _fill() takes them."""
         for part in segments(text):
+            if self.encode_part:
+                yield [self.render(self.encode_part(part))], None, ""
+                continue
             if self.uneven.search(part):
                 yield self.split.findall(part), self.plain, ""
                 continue
@@ -374,8 +381,8 @@ class Decoder:
         return self.state.decode(b"".join([self.table[i] for i in ids]), final)
 
 
-def ranked_chunks(merges: Merges) -> Callable[[list[str]], list[list[int]]]:
-    """Chunks encoded by the tiktoken library, where ids rise with the ranks of merges, as it needs."""
+def ranked(merges: Merges) -> Callable[[str], list[int] | array]:
+    """Text encoded by the tiktoken library, where ids rise with the ranks of merges, as it needs. It gets a long text by pre-tokens."""
     made = [v & LOW for v in merges.pairs.values()]
     if made != sorted(set(made)):
         raise ValueError("the ids of merged tokens do not follow the ranks of their merges")
@@ -383,7 +390,20 @@ def ranked_chunks(merges: Merges) -> Callable[[list[str]], list[list[int]]]:
 
     special = set(merges.special.values())
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(merges.bytes_of) if b and i not in special}, special_tokens={})
-    return lambda chunks: [own.encode_ordinary(x) for x in chunks]
+    split = regex.compile(PATTERN)
+
+    def encode(text: str) -> list[int] | array:
+        if len(text) <= UNSPLIT:
+            return own.encode_ordinary(text)
+        return array("I", chain.from_iterable(own._encode_single_piece(m[0]) for m in split.finditer(text)))
+
+    return encode
+
+
+def ranked_chunks(merges: Merges) -> Callable[[list[str]], list[list[int] | array]]:
+    """ranked() of each chunk."""
+    encode = ranked(merges)
+    return lambda chunks: list(map(encode, chunks))
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

@@ -13,18 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, load_merges, ranked_chunks
+from .bpe import Encoder, load_merges, ranked
 from .common import byte_list, materialise, per_batch
 
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
-RECENT = 600_000  # chunks in memory, twice
 
 
 @lru_cache(maxsize=1)
 def _encoder(vocabulary: str) -> Encoder:
-    """One a worker process, whatever the number of its tasks."""
+    """One a worker process, whatever the number of its tasks. It keeps nothing of the texts."""
     merges = load_merges(vocabulary)
-    return Encoder(merges, ranked_chunks(merges), memory=RECENT)
+    return Encoder(merges, encode_part=ranked(merges))
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -101,7 +100,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int
 
         def step(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
             row, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
-            for at, raw in enumerate(byte_list(batch.column(1))):
+            texts = (raw for i in range(0, batch.num_rows, 256) for raw in byte_list(batch.column(1).slice(i, 256)))
+            for at, raw in enumerate(texts):
                 ids = np.append(encoder.ids(raw.decode("utf-8", "replace")), np.uint32(end_id)).astype("<u4")
                 head = len(ids) % size or size
                 cuts = [0, *range(head, len(ids) + 1, size)]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -400,3 +401,28 @@ def test_tasks_of_a_worker_share_what_they_have_encoded(module, monkeypatch):
 def test_white_space_beside_a_space_is_seen(text):
     encoder = packing._encoder(V)
     assert bool(encoder.uneven.search(text)) == bool(bpe.regex.search(r"\s | \s", text))
+
+
+def test_packing_keeps_nothing_of_the_texts_it_read():
+    encoder = packing._encoder(V)
+    encoder.ids("one text before")
+    tracemalloc.start()
+    try:
+        n = sum(len(encoder.ids(" ".join(f"w{i}x{k}" for i in range(500)))) for k in range(100))
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert n > 50_000 and kept < 1 << 20
+
+
+@pytest.mark.parametrize("text", ["\n" * 1_000_001 + "a b c", "a  b " + " " * 1_000_001 + "é x\n"])
+def test_long_runs_of_white_space(text, library):
+    merges = bpe.load_merges(V)
+    for encoder in (packing._encoder(V), bpe.Encoder(merges, bpe.ranked_chunks(merges))):
+        assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@given(st.text(alphabet="ab1#é日 \n\t\x85\x1c\u3000'st", max_size=40), st.text(alphabet="b \n", max_size=9))
+def test_packing_encodes_as_the_library(library, text, end):
+    text += "<|endoftext|>" + end
+    assert packing._encoder(V).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
